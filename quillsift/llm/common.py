@@ -131,6 +131,11 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(_FOLD[data], starts, ends), rows
 
 
+def positive(h: Column) -> Column:
+    """A hash without its sign, so that its top bits sort as it does."""
+    return h.bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def ranked(df: DataFrame, keys: list[str], order: Column, rows: int, out: str, chunk_rows: int = 100_000) -> DataFrame:
     """Add ``out``: the 0-based rank of each row within ``keys`` by ``order`` (a 64-bit hash), ties by all columns.
 
@@ -142,8 +147,8 @@ def ranked(df: DataFrame, keys: list[str], order: Column, rows: int, out: str, c
     from pyspark.sql import Window as W
 
     bits = max(0, math.ceil(math.log2(max(1, rows) / chunk_rows)))
-    hashed = df.withColumn("__h", order)
-    hashed = hashed.withColumn("__c", F.shiftrightunsigned("__h", 64 - bits).cast("int") if bits else F.lit(0))
+    hashed = df.withColumn("__h", positive(order))
+    hashed = hashed.withColumn("__c", F.shiftright("__h", 63 - bits).cast("int"))
     if not bits:
         w = W.partitionBy(*keys).orderBy("__h", *df.columns)
         return hashed.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("__h", "__c")

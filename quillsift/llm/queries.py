@@ -4,18 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import cuckoo, line_dedup, mixing, packing, quality_rules, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_docs(spark, sf_dir))
+
+
+def op2_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.exact_duplicates(_docs(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped_lines(_docs(spark, sf_dir))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_docs(spark, sf_dir))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_docs(spark, sf_dir))
+
+
 QUERIES = {
-    "op5_simhash_dedup": op5_simhash_dedup,
+    f.__name__: f
+    for f in (op1_quality_rules, op2_cuckoo_dedup, op4_line_dedup, op5_simhash_dedup, op8_packing, op10_mixing)
+}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+    "op2_cuckoo_dedup": cuckoo.SQL,
+    "op4_line_dedup": line_dedup.SQL,
 }
-SQL: dict[str, str] = {}
