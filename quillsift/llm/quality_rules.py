@@ -64,22 +64,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def word_counts(words: Column, lang: Column) -> Column:
-    """Counts of the language's common words, and of all others last."""
-    every = sorted({w for ws in WORDS.values() for w in ws})
-    common = F.filter(words, lambda w: w.isin(every))
-    lists = F.create_map(*[x for k, ws in WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
-    each = F.transform(F.element_at(lists, lang), lambda w: F.size(common) - F.size(F.array_remove(common, w)))
-    each = F.coalesce(each, F.array_repeat(F.lit(0), BINS))
-    return F.concat(each, F.array(F.size(words) - F.aggregate(each, F.lit(0), lambda a, b: a + b)))
+def common_words(words: Column) -> Column:
+    return F.filter(words, lambda w: w.isin(sorted({w for ws in WORDS.values() for w in ws})))
 
 
 def histograms(docs: DataFrame, carry: list[Column]) -> DataFrame:
-    """``carry`` and chars (bins), words (bins), n_chars, n_words of each document."""
+    """``carry`` and chars (bins), words (bins), n_chars, n_words of each document.
+
+    Each step is a projection of its own whose result is read more than once, so Catalyst
+    keeps it and the words are split once.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     a = docs.select(*carry, F.col("lang").alias("__lang"), F.length(text).alias("__nc"), F.array(*class_counts(text)).alias("__c"), words_of(text).alias("__ws"))
     keep = [c for c in a.columns if c != "__ws"]
-    return a.select(*keep, F.size("__ws").alias("__nw"), word_counts(F.col("__ws"), F.coalesce("__lang", F.lit(""))).alias("__w"))
+    a = a.select(*keep, F.size("__ws").alias("__nw"), common_words(F.col("__ws")).alias("__cs"))
+    keep.append("__nw")
+    lists = F.create_map(*[x for k, ws in WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
+    known = F.element_at(lists, F.coalesce("__lang", F.lit("")))
+    each = F.transform(known, lambda w: F.size("__cs") - F.size(F.array_remove("__cs", w)))
+    a = a.select(*keep, F.coalesce(each, F.array_repeat(F.lit(0), BINS)).alias("__each"))
+    rest = F.col("__nw") - F.aggregate("__each", F.lit(0), lambda x, y: x + y)
+    return a.select(*keep, F.concat("__each", F.array(rest)).alias("__w"))
 
 
 def _long(n_chars: str, n_words: str) -> Column:
