@@ -154,8 +154,9 @@ def ranked(df: DataFrame, keys: list[str], order: Column, rows: int, out: str, c
         return hashed.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("__h", "__c")
     counts = hashed.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*keys).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    on = [hashed[k].eqNullSafe(base[k]) for k in [*keys, "__c"]]
-    joined = hashed.join(base, on).select(*[hashed[c] for c in hashed.columns], "__base")
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__c"])]
+    base = counts.select(*named, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__c"])]
+    joined = hashed.join(base, on).select(*hashed.columns, "__base")
     w = W.partitionBy(*keys, "__c").orderBy("__h", *df.columns)
     return joined.withColumn(out, (F.row_number().over(w) - 1 + F.col("__base")).cast("long")).drop("__h", "__c", "__base")
