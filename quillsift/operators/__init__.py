@@ -1 +1 @@
-
+"""Operators over documents: filters, postings, search and compaction."""
