@@ -1,0 +1,95 @@
+"""Every operator and stage on awkward and on empty tables: defined results, none of them a crash."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillsift.llm import cuckoo, html_extract, line_dedup, mixing, packing, quality_rules, secrets, simhash, toxicity, weak_labels
+
+from .awkward import CLASHING, LONG, ROWS, documents, empty
+
+OPERATORS = {
+    "quality": quality_rules.judged, "cuckoo": cuckoo.exact_duplicates, "classifier": weak_labels.classified, "lines": line_dedup.deduped_lines,
+    "simhash": simhash.near_duplicates, "toxicity": toxicity.toxicity, "packing": packing.packed, "mixing": mixing.mixed, "secrets": secrets.findings,
+}
+STAGES = {"quality": quality_rules.stage, "lines": line_dedup.stage, "simhash": simhash.stage, "mixing": mixing.stage}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators(spark, name):
+    got = OPERATORS[name](documents(spark)).collect()
+    if name not in ("packing", "secrets"):
+        assert sorted(r["doc_id"] is None and -1 or r["doc_id"] for r in got) == sorted(-1 if r[0] is None else r[0] for r in ROWS)
+    assert OPERATORS[name](empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_carry_all_columns(spark, name):
+    df = documents(spark)
+    got = STAGES[name](spark, df, "")
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    assert {r["doc_id"] for r in rows} <= {r[0] for r in ROWS}
+    assert STAGES[name](spark, empty(spark), "").collect() == []
+
+
+def test_quality_keeps_short_and_unreferenced(spark):
+    got = quality_rules.judged(documents(spark)).collect()
+    assert all(r["keep"] for r in got)
+    assert {r["reason"] for r in got if r["doc_id"] in (3, 4, 7)} == {"short"} and {r["reason"] for r in got if r["doc_id"] == 5} == {"no reference"}
+
+
+def test_exact_duplicates_of_awkward_rows(spark):
+    got = sorted((r["doc_id"], r["keeper_id"], r["is_duplicate"]) for r in cuckoo.exact_duplicates(documents(spark)).where("doc_id is not null").collect())
+    want = [(i, i, False) for i in (1, 2, 3, 4, 5, 6, 7, 8, 11)] + [(9, 9, False), (9, 9, False), (9, 9, True), (10, 9, True)]
+    assert got == sorted(want)
+
+
+def test_lines_of_awkward_rows(spark):
+    got = {(r["doc_id"], r["text"]): r for r in line_dedup.deduped_lines(documents(spark)).collect()}
+    assert got[2, ""]["keep"] is False and got[1, ROWS[0][1]]["n_removed"] == 0
+    assert got[3, None]["keep"] and got[4, ""]["keep"] and (5, LONG) in got and (None, ROWS[4][1]) in got
+    kept = line_dedup.stage(spark, documents(spark), "").collect()
+    assert 2 not in [r["doc_id"] for r in kept]
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    got = simhash.near_duplicates(documents(spark)).collect()
+    group = {r["doc_id"]: r["group_id"] for r in got}
+    assert group[10] == 9 and group[3] == 3 and group[8] == 8 and group[None] is None
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in simhash.stage(spark, documents(spark), "").collect())
+    assert [k[0] for k in kept].count(9) == 2  # one of the repeated row, one of the other text under that id
+    assert 10 not in [k[0] for k in kept] and [k[0] for k in kept].count(-1) == 2
+
+
+def test_packing_of_awkward_rows(spark):
+    got = packing.packed(documents(spark), 1000).collect()
+    assert sorted({r["doc_id"] or -1 for r in got}) == [-1, 1, 2, 5, 6, 8, 9, 10, 11]
+    assert sum(r["n_tokens"] for r in got if r["doc_id"] == 5) == len(LONG.split())
+
+
+def test_mixing_of_awkward_rows(spark):
+    got = mixing.mixed(documents(spark), {"web": 1, "books": 1}).collect()
+    assert {r["source"] for r in got if r["slot"] is None} == {None, "code"} and not any(r["in_mix"] for r in got if r["slot"] is None)
+
+
+def test_scores_of_awkward_rows(spark):
+    tox = {r["doc_id"]: r for r in toxicity.toxicity(documents(spark)).collect()}
+    assert tox[3]["score"] == tox[4]["score"] == 0 and not tox[5]["toxic"]
+    got = {r["doc_id"]: r for r in weak_labels.classified(documents(spark)).collect()}
+    assert got[3]["score"] == got[4]["score"] == got[7]["score"] == 0 and not got[3]["keep"]
+
+
+def test_pages(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>" + "word " * 40 + "."), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<div>" * 50000), (3, "u", "<p")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
+    got = html_extract.extracted(pages).collect()
+    by = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 7 and by[1] is None and by[2] == by[3] == by[4] == by[5] == "" and by[None].startswith("word word")
+    assert html_extract.extracted(pages.where("false")).collect() == []
+
+
+def test_toxicity_with_awkward_labels(spark):
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (9, 1, 1), (9, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.toxicity(documents(spark), labels).count() == len(ROWS)
+    assert toxicity.toxicity(documents(spark), labels.where("false")).count() == len(ROWS)
