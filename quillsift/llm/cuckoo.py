@@ -157,8 +157,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     seen = materialize(replay(docs.select("id", F.col("id").alias("seq"), "text", F.lit(False).alias("removal"))), "cuckoo")
     hits = seen.where("outcome = 'duplicate'").select("id", "a", "b", "holder")
     wanted = hits.select("id", "a", "b").union(hits.select("holder", "a", "b")).distinct()
-    wanted = materialize(wanted, "wanted")  # its size is known now, so Catalyst may broadcast it
-    texts = docs.select("id", *_digests(), "text").join(wanted, ["id", "a", "b"], "left_semi").distinct()
+    wanted = materialize(wanted, "wanted")
+    # Content is bucketed by digest, and each bucket keeps what its hits and their holders need;
+    # hashing the narrow side leaves the texts unsorted, and the plan is the same at any size.
+    content = docs.where("text is not null and id is not null").select("id", *_digests(), "text")
+    texts = content.join(wanted.hint("shuffle_hash"), ["id", "a", "b"], "left_semi").distinct()
     texts = materialize(texts, "texts")
     held = texts.withColumnsRenamed({"id": "holder", "text": "held"})
     same = F.col("text") == F.col("held")
