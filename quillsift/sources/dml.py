@@ -58,7 +58,7 @@ def _with_ids(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
     for p, n in sizes:
         offsets.append((p, first + total))
         total += n
-    at = rows.sparkSession.createDataFrame(offsets, "__p int, __first bigint")
+    at = written(rows.sparkSession.createDataFrame(offsets, "__p int, __first bigint"), "offsets")  # its size is known, so it is broadcast
     rank = F.row_number().over(W.partitionBy("__p").orderBy("seq"))
     return ranged.join(at, "__p").withColumn("doc_id", F.col("__first") + rank - 1).drop("__p", "__first"), total
 
