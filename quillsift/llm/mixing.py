@@ -29,7 +29,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import positive, ranked
+from .common import materialize, positive, ranked
 
 BLOCK = 8
 UNITS = 1000
@@ -91,8 +91,9 @@ def _tasks(docs: DataFrame, weights: dict | None, block: int, units: int, alpha:
         missing = own[blocks % len(own)] + blocks // len(own) * every
         horizon = missing if horizon is None else min(horizon, missing)
     kind = docs.schema["source"].dataType.simpleString()
-    task_of = spark.createDataFrame([(s, i) for i, (sources, _) in enumerate(tasks) for s in sources], f"__s {kind}, __task int")
-    slots_of = spark.createDataFrame(list(enumerate(slots)), "__t int, __slots array<bigint>")
+    # Written tables have a size that Catalyst knows, so it broadcasts them while they are small.
+    task_of = materialize(spark.createDataFrame([(s, i) for i, (sources, _) in enumerate(tasks) for s in sources], f"__s {kind}, __task int"), "tasks")
+    slots_of = materialize(spark.createDataFrame(list(enumerate(slots)), "__t int, __slots array<bigint>"), "slots")
     return task_of, slots_of, every, horizon or 0, sum(counts.values())
 
 
@@ -122,6 +123,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     m = mixed(docs)
     first_out = F.min(F.when(~F.col("in_mix"), positive(order())))
     bound = m.groupBy("source").agg(first_out.alias("__out")).withColumnRenamed("source", "__source")
-    bound = docs.sparkSession.createDataFrame(bound.collect(), bound.schema)  # a row a source
+    bound = materialize(bound, "bounds")  # a row a source, of known size
     kept = docs.join(bound, docs["source"].eqNullSafe(bound["__source"]), "left")
     return kept.where(bound["__out"].isNull() | (positive(F.xxhash64(docs["doc_id"], F.lit("mix"))) < bound["__out"])).select(*[docs[c] for c in docs.columns])
