@@ -93,10 +93,6 @@ def variant_masks(segments: int = SEGMENTS) -> list[tuple[int, int, int]]:
     return out
 
 
-def _distance(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
-    return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
-
-
 def signature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo) of the documents that have a signature."""
     small_batches(docs.sparkSession)
@@ -104,17 +100,39 @@ def signature_table(docs: DataFrame) -> DataFrame:
     return signed.select(F.col("doc_id").cast("bigint"), "s.hi", "s.lo")
 
 
+def _shared_variant(hi: Column, lo: Column, segments: int) -> Column:
+    """The first variant two signatures agree in, from the bits they differ in; null if there is none.
+
+    A variant's number is its wildcard bit, so it is the one bit a segment differs in, or the
+    segment's first bit where it does not differ.
+    """
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    out, bounds = F.lit(None).cast("int"), [round(i * BITS / segments) for i in range(segments + 1)]
+    for a, b in reversed(list(zip(bounds, bounds[1:]))):
+        mask = (1 << b) - (1 << a)
+        own_hi, own_lo = hi.bitwiseAND(F.lit(signed(mask >> 64))), lo.bitwiseAND(F.lit(signed(mask & ((1 << 64) - 1))))
+        bits = F.bit_count(own_hi) + F.bit_count(own_lo)
+        place = F.when(own_lo != 0, F.length(F.bin(own_lo)) - 1).otherwise(F.length(F.bin(own_hi)) + 63)
+        out = F.when(bits == 0, F.lit(a)).when(bits == 1, place).otherwise(out)
+    return out.cast("int")
+
+
 def near_pairs(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b), a < b, of the nodes (node, hi, lo) whose signatures differ in at most ``radius`` bits."""
+    """Pairs (a, b), a < b, of the nodes (node, hi, lo) whose signatures differ in at most ``radius`` bits.
+
+    Two nodes meet in every variant they agree in; only the first of these yields the pair,
+    so the pairs need no shuffle to be made distinct.
+    """
     masks = F.array(*[F.struct(*[F.lit(x) for x in m]) for m in variant_masks(segments)])
-    variants = nodes.select("node", "hi", "lo", F.explode(masks).alias("m")).select(
-        F.xxhash64("m.col1", F.col("hi").bitwiseAND(F.col("m.col2")), F.col("lo").bitwiseAND(F.col("m.col3"))).alias("key"),
-        "node", "hi", "lo",
-    )
+    key = lambda m, hi, lo: F.xxhash64(m["col1"], hi.bitwiseAND(m["col2"]), lo.bitwiseAND(m["col3"]))
+    variants = nodes.select("node", "hi", "lo", F.explode(masks).alias("m")).select(key(F.col("m"), F.col("hi"), F.col("lo")).alias("key"), "node", "hi", "lo")
     a, b = variants.alias("a"), variants.alias("b")
-    near = _distance(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo")) <= radius
-    joined = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near)
-    return joined.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    hi, lo = F.col("a.hi").bitwiseXOR(F.col("b.hi")), F.col("a.lo").bitwiseXOR(F.col("b.lo"))
+    near = F.bit_count(hi) + F.bit_count(lo) <= radius
+    shared = F.element_at(masks, _shared_variant(hi, lo, segments) + 1)
+    first = F.coalesce(key(shared, F.col("a.hi"), F.col("a.lo")) == F.col("a.key"), F.lit(False))
+    joined = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near & first)
+    return joined.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
