@@ -10,7 +10,9 @@ Weights are whole units of 1/``UNITS``, so the schedule repeats every ``UNITS``
 driver simulates that one period, and the slot of any block is arithmetic on it.  The mix
 ends with the first slot whose block its source no longer has (``in_mix`` is false from
 there on): up to it the targets hold.  Sources whose target is below one unit share one
-task, so that a tiny source can't end the mix.
+task.  That task, and any source with less than one unit of the scheduled documents, doesn't
+end the mix: once it has run out its slots stay vacant and the others go on, their weights
+to each other unchanged.
 
 By default the targets are the sources' shares of the documents raised to ``ALPHA`` (the
 usual temperature smoothing) and normalised; a mapping from source to weight may be given.
@@ -85,16 +87,16 @@ def _tasks(docs: DataFrame, weights: dict | None, block: int, units: int, alpha:
     counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}  # a row a source
     tasks = apportion(counts, weights, units, alpha)
     slots = period([u for _, u in tasks]) if tasks else []
-    every, horizon = sum(u for _, u in tasks), None
-    for (sources, _), own in zip(tasks, slots):
-        blocks = -(-sum(counts[s] for s in sources) // block)
-        missing = own[blocks % len(own)] + blocks // len(own) * every
-        horizon = missing if horizon is None else min(horizon, missing)
+    every, held = sum(u for _, u in tasks), [sum(counts[s] for s in sources) for sources, _ in tasks]
+    blocks = [-(-h // block) for h in held]
+    missing = [own[b % len(own)] + b // len(own) * every for own, b in zip(slots, blocks)]
+    ending = [m for m, h, (sources, _) in zip(missing, held, tasks) if len(sources) == 1 and h * every >= sum(held)]
+    horizon = min(ending or missing, default=0)
     kind = docs.schema["source"].dataType.simpleString()
     # Written tables have a size that Catalyst knows, so it broadcasts them while they are small.
     task_of = materialize(spark.createDataFrame([(s, i) for i, (sources, _) in enumerate(tasks) for s in sources], f"__s {kind}, __task int"), "tasks")
     slots_of = materialize(spark.createDataFrame(list(enumerate(slots)), "__t int, __slots array<bigint>"), "slots")
-    return task_of, slots_of, every, horizon or 0, sum(counts.values())
+    return task_of, slots_of, every, horizon, sum(counts.values())
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, units: int = UNITS, alpha: float = ALPHA, chunk_rows: int = 100_000) -> DataFrame:

@@ -330,3 +330,10 @@ def test_lag_is_below_one_block():
 def test_tiny_sources_share_a_task():
     tasks = mixing.apportion({"a": 10**9, "b": 1, None: 1, "c": 10**8}, units=100)
     assert (["b", None], 1) in [(s, u) for s, u in tasks] and sum(u for _, u in tasks) == 100
+
+
+@pytest.mark.parametrize(("n_hot", "n_few", "units"), [(20000, 1, 1000), (2000, 20, 100)])
+def test_a_stray_source_does_not_end_the_mix(spark, n_hot, n_few, units):
+    docs = spark.range(n_hot + n_few).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n_hot, F.lit("hot")).alias("source"))
+    got = mixing.mixed(docs, units=units).toPandas()
+    assert got.in_mix.all() and got.position.is_unique
