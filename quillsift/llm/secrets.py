@@ -62,7 +62,7 @@ _ASSIGN = re.compile(r"(?i)(?:token|secret|passw|pwd|_key|-key|apikey|accesskey|
 _URL = re.compile(r"[^\s%<>\"']{0,256}(?:%[0-9A-Fa-f]{2}[^\s%<>\"']{0,256})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 _ESCAPED = re.compile(rf"[^\s\\]{{0,256}}(?:(?:{_ESCAPE.pattern})[^\s\\]{{0,256}})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 _UNPACK = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
 Span = tuple[int, int]

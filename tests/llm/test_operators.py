@@ -265,6 +265,13 @@ def test_cycles_bombs_and_clean_texts(monkeypatch):
     assert len(secrets.scan("%25" * 30000)) == 0
 
 
+@pytest.mark.parametrize("lead", ["data=", "a/b?x=", "KEY==", "x " + "A" * 20 + "="])
+@pytest.mark.parametrize("codec", ["base64", "base64>gzip", "base64>xz"])
+def test_coded_text_after_an_equals_sign(lead, codec):
+    text = f"{lead}{LAYERS[codec](f'see {SECRET} here')} ok"
+    assert ("aws access key", codec, 1) in [f[:3] for f in secrets.scan(text)]
+
+
 # -- packing
 
 
