@@ -1,9 +1,10 @@
 """Secret scans through nested encodings.
 
 Every document is a worklist of layers, at first its text.  A layer is scanned by the rules,
-and every run in it that decodes (URL escapes, Unicode and hex escapes, base64, and gzip,
-zlib, bzip2, xz or zstandard data inside base64) adds a layer.  The list runs to its
-fixpoint: a layer whose content was seen in the document is not added again, so cycles end
+and adds a layer with all its URL escapes decoded in place (bytes that are not UTF-8 as
+replacement characters), one with all its Unicode and hex escapes, and one for every run
+that decodes as base64, or as gzip, zlib, bzip2, xz or zstandard data inside base64.  The
+list runs to its fixpoint: a layer whose content was seen in the document is not added again, so cycles end
 and depth has no bound.  Each layer maps its characters to spans of its parent, so a finding
 deep down is reported with its span in the document: exact through URL and Unicode escapes
 and base64, the whole run through compression.
@@ -28,8 +29,8 @@ import math
 import re
 import zlib
 from collections import Counter, deque
-from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -59,9 +60,13 @@ _HINTS = {
     "credentials in url": ("://",),
 }
 _ASSIGN = re.compile(r"(?i)(?:token|secret|passw|pwd|_key|-key|apikey|accesskey|authkey)")
-_URL = re.compile(r"[^\s%<>\"']{0,256}(?:%[0-9A-Fa-f]{2}[^\s%<>\"']{0,256})+")
-_ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
-_ESCAPED = re.compile(rf"[^\s\\]{{0,256}}(?:(?:{_ESCAPE.pattern})[^\s\\]{{0,256}})+")
+#: An escape character may be escaped over and over ("%252525...", two characters a level); a longer chain goes on from its last levels.
+CHAIN = 16
+_URL = re.compile(rf"%(?:25){{{CHAIN + 1},}}|(?:%[0-9A-Fa-f]{{2}}(?!(?<=%25)(?:25){{{CHAIN},}}))+")
+_ESCAPED = re.compile(
+    rf"\\(?P<link>u005[cC]|x5[cC]|U0000005[cC]|u\{{5[cC]\}})(?P=link){{{CHAIN},}}|\\u\{{[0-9A-Fa-f]{{1,6}}\}}|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}}|\\x[0-9A-Fa-f]{{2}}"
+)
+_STRAY = re.compile(r"[\udc80-\udcff]")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 _UNPACK = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
@@ -93,52 +98,108 @@ def _inflate(data: bytes) -> tuple[str, bytes] | None:
     return codec, out
 
 
+class Spans:
+    """For each character of a text the span of its parent that it comes from; starts and ends never fall."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.starts, self.ends = starts, ends
+
+    @classmethod
+    def all_of(cls, n: int, start: int, end: int) -> Spans:
+        """The same span for each of ``n`` characters, held once."""
+        return cls(np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(end), n))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def of(self, a: int, b: int) -> Span:
+        return int(self.starts[a]), int(self.ends[b - 1])
+
+    def within(self, outer: Spans | None, at: int) -> Spans:
+        """These spans, of a run at ``at`` of a layer, as spans of the layer's own parent."""
+        if not len(self):
+            return self
+        if self.starts.strides == (0,) or (outer is not None and outer.starts.strides == (0,)):
+            a, b = int(self.starts[0]) + at, int(self.ends[-1]) + at
+            return Spans.all_of(len(self), *((a, b) if outer is None else outer.of(a, b)))
+        if outer is None:
+            return Spans(self.starts + at, self.ends + at)
+        return Spans(outer.starts[self.starts + at], outer.ends[self.ends + (at - 1)])
+
+
 def _readable(data: bytes) -> str | None:
     """The bytes as text, if they are UTF-8 and nearly all printable."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return None
+    return text if _printable(text) else None
+
+
+def _printable(text: str) -> bool:
     good = sum(c.isprintable() or c in "\r\n\t" for c in text)
-    return text if text and good >= 0.95 * len(text) else None
+    return bool(text) and good >= 0.95 * len(text)
+
+
+def _widths(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8; one for a byte that was kept as a surrogate."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    return np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, width)
+
+
+def _in_place(layer: str, tokens: re.Pattern, value) -> tuple[str, Spans] | None:
+    """A layer with all tokens decoded in place; ``value`` gives a token's text and, unless each character comes from all of it, spans."""
+    out, cuts, inner, at = [], [], [], 0
+    for m in tokens.finditer(layer):
+        a, b = m.span()
+        text, spans = value(m[0])
+        if spans is not None:
+            inner.append((len(cuts), spans))
+        out += (layer[at:a], text)
+        cuts.append((a, b, len(text)))
+        at = b
+    if not cuts:
+        return None
+    text = "".join([*out, layer[at:]])
+    a, b, n = np.array(cuts, np.int64).T
+    lost = np.concatenate([[0], np.cumsum(b - a - n)])  # characters fewer, up to each token and after the last
+    first = a - lost[:-1]
+    starts = np.arange(len(text)) + np.repeat(lost, np.diff(np.concatenate([[0], first + n, [len(text)]])))
+    ends = starts + 1
+    decoded = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    starts[decoded], ends[decoded] = np.repeat(a, n), np.repeat(b, n)
+    for k, (s, e) in inner:
+        starts[first[k] : first[k] + n[k]], ends[first[k] : first[k] + n[k]] = a[k] + s, a[k] + e
+    return text, Spans(starts, ends)
 
 
-def _by_bytes(text: str, spans: list[Span]) -> list[Span]:
-    """Spans of the characters of a text, from those of its UTF-8 bytes."""
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((spans[at][0], spans[at + n - 1][1]))
-        at += n
-    return out
+def _escape_value(token: str) -> tuple[str, None]:
+    if len(token) > 10:
+        return "\\" + _ESCAPED.fullmatch(token)["link"] * CHAIN, None
+    code = int(token.strip("\\uUx{}"), 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", None
 
 
-def _unescape(run: str) -> tuple[str, list[Span]]:
-    out, spans, at = [], [], 0
-    for m in _ESCAPE.finditer(run):
-        out += run[at : m.start()]
-        spans += [(i, i + 1) for i in range(at, m.start())]
-        code = int(m[0].strip("\\uUx{}"), 16)
-        out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
-        spans.append(m.span())
-        at = m.end()
-    return "".join(out) + run[at:], spans + [(i, i + 1) for i in range(at, len(run))]
-
-
-def _unquote(run: str) -> tuple[str, list[Span]] | None:
-    raw, spans, at = unquote_to_bytes(run), [], 0
-    while at < len(run):
-        if run[at] == "%" and re.match(r"%[0-9A-Fa-f]{2}", run[at : at + 3]):
-            spans.append((at, at + 3))
-            at += 3
-        else:
-            spans += [(at, at + 1)] * len(run[at].encode())
-            at += 1
-    text = _readable(raw)
-    return None if text is None else (text, _by_bytes(text, spans))
+def _url_value(token: str) -> tuple[str, tuple[np.ndarray, np.ndarray] | None]:
+    if token.startswith("%2525"):
+        return "%" + "25" * CHAIN, None
+    text = bytes.fromhex(token.replace("%", "")).decode("utf-8", "surrogateescape")
+    if len(text) == 1:
+        return _STRAY.sub("\ufffd", text), None
+    ends = 3 * np.cumsum(_widths(text))
+    return _STRAY.sub("\ufffd", text), (np.concatenate([[0], ends[:-1]]), ends)
+
+
+def _unescape(layer: str) -> tuple[str, Spans] | None:
+    return _in_place(layer, _ESCAPED, _escape_value)
+
+
+def _unquote(layer: str) -> tuple[str, Spans] | None:
+    return _in_place(layer, _URL, _url_value)
 
 
-def _unbase64(run: str) -> tuple[str, str, list[Span]] | None:
+def _unbase64(run: str) -> tuple[str, str, Spans] | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1:
         return None
@@ -149,28 +210,26 @@ def _unbase64(run: str) -> tuple[str, str, list[Span]] | None:
     packed = _inflate(data)
     if packed is not None:
         text = _readable(packed[1])
-        return None if text is None else (f"base64>{packed[0]}", text, [(0, len(run))] * len(text))
+        return None if text is None else (f"base64>{packed[0]}", text, Spans.all_of(len(text), 0, len(run)))
     text = _readable(data)
     if text is None:
         return None
-    spans = [(4 * i // 3, min(len(body), 4 * i // 3 + 2)) for i in range(len(data))]
-    return "base64", text, _by_bytes(text, spans)
+    after = np.cumsum(_widths(text))
+    first, last = np.concatenate([[0], after[:-1]]), after - 1  # bytes of each character
+    return "base64", text, Spans(4 * first // 3, np.minimum(len(body), 4 * last // 3 + 2))
 
 
 def _decoded(layer: str):
     """(codec, start and end of the run, content, spans in the run) of all that decodes in a layer; content None if oversized."""
-    if "%" in layer:
-        for m in _URL.finditer(layer):
-            if got := _unquote(m[0]):
-                yield "url", m.span(), *got
-    if "\\" in layer:
-        for m in _ESCAPED.finditer(layer):
-            yield "unicode", m.span(), *_unescape(m[0])
+    if "%" in layer and (got := _unquote(layer)):
+        yield "url", (0, len(layer)), *got
+    if "\\" in layer and (got := _unescape(layer)):
+        yield "unicode", (0, len(layer)), *got
     for m in _BASE64.finditer(layer):
         try:
             got = _unbase64(m[0])
         except Oversized:
-            yield "base64", m.span(), None, []
+            yield "base64", m.span(), None, None
             continue
         if got:
             yield got[0], m.span(), got[1], got[2]
@@ -201,7 +260,7 @@ def scan(text: str | None) -> list[tuple[str, str, int, int, int, str, str]]:
     work, seen = deque([(text, None, "", 0)]), {text}
     while work:
         layer, spans, path, depth = work.popleft()
-        whole = (lambda a, b, s=spans: (a, b) if s is None else (s[a][0], max(x[1] for x in s[a:b])))
+        whole = (lambda a, b, s=spans: (a, b) if s is None else s.of(a, b))
         for name, a, b, value in _found(layer):
             start, end = whole(a, b)
             digest = hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()[:16]
@@ -214,8 +273,7 @@ def scan(text: str | None) -> list[tuple[str, str, int, int, int, str, str]]:
                 out.append(("oversized layer", path, depth, start, end, "", ""))
             elif content not in seen and content:
                 seen.add(content)
-                mapped = [whole(a + s, a + e) for s, e in inner]
-                work.append((content, mapped, f"{path}>{codec}" if path else codec, depth + 1))
+                work.append((content, inner.within(spans, a), f"{path}>{codec}" if path else codec, depth + 1))
     return out
 
 

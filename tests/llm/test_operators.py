@@ -272,6 +272,31 @@ def test_coded_text_after_an_equals_sign(lead, codec):
     assert ("aws access key", codec, 1) in [f[:3] for f in secrets.scan(text)]
 
 
+@pytest.mark.parametrize("codec", ["url", "unicode"])
+def test_escapes_far_apart_in_one_coded_run(codec):
+    escape = (lambda s: quote(s, safe="")) if codec == "url" else (lambda s: s.replace("/", "\\u002f"))
+    for payload in (b"ab?" + b"a" * 300 + f" {SECRET} ".encode() + b"b" * 300 + b"ab?", gzip.compress(bytes(random.Random(1).choices(range(32, 127), k=900)) + f" {SECRET} ".encode())):
+        coded = escape(base64.b64encode(payload).decode())
+        assert coded.count("%2F" if codec == "url" else "\\u002f") > 0
+        text = f"x {coded} y"
+        found = [f for f in secrets.scan(text) if f[0] == "aws access key"]
+        assert found and text.index(coded) <= found[0][3] < found[0][4] <= text.index(coded) + len(coded)
+
+
+def test_an_escaped_value_is_read_with_its_name():
+    for value in ("%71w8Zk3Lp0Xv5Tn", "\\x71w8Zk3Lp0Xv5Tn", "%FF", "%E2%82%AC"):
+        text = f"é password = {value}" if len(value) > 12 else f"{value} é password = %71w8Zk3Lp0Xv5Tn"
+        found = [f for f in secrets.scan(text) if f[0] == "assigned secret" and f[5] == "qw8Z"]
+        assert [text[f[3] : f[4]][-15:] for f in found] == [text[-15:]] and found[0][3] == text.index("71w") - (1 if "%71" in text else 2)
+
+
+def test_spans_of_escapes():
+    text, spans = secrets._unquote("a%41%C3%A9%FFb%2Fé")
+    assert text == "aAé\ufffdb/é" and [spans.of(i, i + 1) for i in range(7)] == [(0, 1), (1, 4), (4, 10), (10, 13), (13, 14), (14, 17), (17, 18)]
+    assert max(f[2] for f in secrets.scan("%" + "25" * 30000 + "41KIA" + SECRET[4:])) == secrets.CHAIN + 2
+    assert max(f[2] for f in secrets.scan("\\" + "x5c" * 30000 + "x41KIA" + SECRET[4:])) == secrets.CHAIN + 2
+
+
 # -- packing
 
 
