@@ -326,6 +326,27 @@ def test_entities_and_lines():
     assert html_extract.lines_of("<p>a&amp;b&nbsp;c<br>d<b>e</b>\nf") == ["", "a&b c", "de f"]
 
 
+BODY = "".join(f"<p>Sentence number {i} of the story goes on for a while, as stories do.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title>{}</html>", "<html><head><title>T</title><body>{}</body></html>", "<body><form action=x>{}</form></body>", "<body><form>{}",
+        "<body><nav><ul><li><a href=x>Link</a></li></ul>{}</body>", "<nav><a>Link</a><article>{}</article><nav><a>Link</a></nav>", "<aside>{}", "<select><option>One{}",
+        "<svg><g>{}", "<noscript>{}", "<body>{}<footer>&copy; 2020 Some Company, all rights reserved.</footer></body>", "<footer><article>{}</article><footer>&copy; 2020.</footer>",
+    ],
+)
+def test_text_after_an_open_element_or_in_a_form_is_kept(page):
+    text = html_extract.extract(page.format(BODY))
+    assert text.count("Sentence number") == 8 and "2020" not in text
+
+
+def test_many_open_elements_take_linear_time():
+    for tag in ("<svg>", "<head>", "<nav>", "<footer>", "<template>", "<!-- x -->"):
+        assert html_extract.extract(tag * 100000) == ""
+
+
 def test_pages_of_the_table(spark, sf_dir):
     got = queries.op9_html_extraction(spark, sf_dir).toPandas()
     raw = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id").html
