@@ -233,8 +233,8 @@ def _counts(hashes: Column, gone: Column) -> tuple[Column, Column]:
 def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row a document: doc_id, its text without repeated lines, how many of its long lines went, keep.
 
-    ``keep`` is false where lines went and no line of at least ``min_chars`` is left: what
-    the document said is said by others.
+    ``keep`` is false where lines went and no line of at least ``min_chars`` is left, as in
+    the SQL; shorter lines may be left in the text (``stage`` looks at these, too).
     """
     m = marked(docs, min_chars, min_count, pass_bytes)
     long, went = _counts(F.col("hashes"), F.col("gone"))
@@ -244,16 +244,41 @@ def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int =
     )
 
 
+def short_lines(text: Column, min_chars: int) -> Column:
+    """The distinct hashes of the lines that are too short to be touched and not blank."""
+    short = F.filter(F.split(text, "\n", -1), lambda x: (F.length(F.trim(x)) < min_chars) & (F.length(F.btrim(x, F.lit(" \t\r\f\v"))) > 0))
+    return F.array_distinct(F.transform(short, lambda x: F.xxhash64(F.lower(F.trim(x)))))
+
+
+def _own(docs: DataFrame, emptied: DataFrame, min_chars: int) -> DataFrame:
+    """(d, own): of the documents without a long line, the short lines that no earlier document holds."""
+    pairs = materialize(emptied.select(F.col("r.doc_id").cast("bigint").alias("d"), F.explode("short").alias("line")).distinct(), "short")
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.explode(short_lines(F.col("text"), min_chars)).alias("line"))
+    first = lines.join(pairs.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("d").alias("d"))
+    return pairs.join(first, ["line", "d"]).groupBy("d").agg(F.collect_set("line").alias("own"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated lines; those left without a long line go. n_chars follows the text."""
+    """The documents without repeated lines.  n_chars follows the text.
+
+    A document left without a long line goes if its short lines, too, are all held by
+    earlier documents; with a short line of its own it stays, with the text that is left.
+    """
     m = marked(docs)
     long, went = _counts(F.col("hashes"), F.col("gone"))
-    kept = m.where(~((went > 0) & (went == long)))
+    emptied = (went > 0) & (went == long)
     text = _left(F.col("r.text"), F.col("gone"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("r.text").isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[(new.get(c, F.col("r")[c])).alias(c) for c in docs.columns])
+    row = F.struct(*[(new.get(c, F.col("r")[c])).alias(c) for c in docs.columns])
+    left = materialize(
+        m.select(row.alias("r"), emptied.alias("emptied"), F.when(emptied, short_lines(F.col("r.text"), MIN_CHARS)).alias("short")), "left"
+    )
+    at_risk = left.where("emptied")
+    saved = at_risk.join(_own(docs, at_risk, MIN_CHARS), F.col("r.doc_id").cast("bigint") == F.col("d")).where(F.arrays_overlap("short", "own"))
+    kept = left.where("not emptied").select("r").unionAll(saved.select("r"))
+    return kept.select(*[F.col("r")[c].alias(c) for c in docs.columns])
 
 
 SQL = f"""

@@ -122,6 +122,16 @@ def test_lines_in_one_pass_or_many(spark, sf_dir, pass_bytes):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_stage_keeps_documents_with_short_lines_of_their_own(spark):
+    head = "A license header that many files share."
+    rows = [
+        (1, f"{head}\nroses are red"), (2, f"{head}\nRoses are red \nviolets are blue"), (3, f"{head}\nviolets are blue\n"), (4, f"{head}\n \t\r\n"),
+        (5, f"{head}\nsugar is sweet\n{head}"), (5, f"{head}\nroses are red"), (None, head),
+    ]
+    got = line_dedup.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == [(0, head), (1, rows[0][1]), (2, "Roses are red \nviolets are blue"), (5, "sugar is sweet")]
+
+
 # -- SimHash
 
 
