@@ -211,13 +211,16 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COU
     if passes == 1:
         gone = _probe(path, shards, 1, 0, min_count)(F.col("r.doc_id").cast("bigint"), hashes)
         return rows.select("r", hashes.alias("hashes"), gone.alias("gone"))
-    narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("d"), line_hashes(F.col("text"), min_chars).alias("hashes"), F.lit(None).cast("array<boolean>").alias("gone"))
+    # Marks depend on a row's doc_id and text alone, so these are the key that brings them back to the rows.
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("d"), digest(F.col("text")).alias("k"), line_hashes(F.col("text"), min_chars).alias("l"), F.lit(None).cast("array<boolean>").alias("gone"))
     for turn in range(passes):
-        more = _probe(path, shards, passes, turn, min_count)(F.col("d"), F.col("hashes"))
+        more = _probe(path, shards, passes, turn, min_count)(F.col("d"), F.col("l"))
         both = F.when(F.col("gone").isNull(), F.col("more")).otherwise(F.zip_with("gone", "more", lambda a, b: a | b))
-        narrow = materialize(narrow.withColumn("more", more).select("d", "hashes", both.alias("gone")), f"pass{turn}")
-    once = narrow.groupBy("d").agg(F.first("hashes").alias("hashes"), F.first("gone").alias("gone"))
-    return rows.join(once, F.col("r.doc_id").cast("bigint") == F.col("d"), "left").select("r", "hashes", "gone")
+        narrow = materialize(narrow.withColumn("more", more).select("d", "k", "l", both.alias("gone")), f"pass{turn}")
+    once = narrow.groupBy("d", "k").agg(F.first("gone").alias("gone"))
+    on = (F.col("r.doc_id").cast("bigint") == F.col("d")) & (digest(F.col("r.text")) == F.col("k"))
+    return rows.join(once, on, "left").select("r", hashes.alias("hashes"), "gone")
 
 
 def _left(text: Column, gone: Column) -> Column:

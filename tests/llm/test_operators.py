@@ -122,6 +122,15 @@ def test_lines_in_one_pass_or_many(spark, sf_dir, pass_bytes):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_repeated_and_null_ids_in_one_pass_or_many(spark):
+    a, b, c = (f"Line {x} that is long enough to be counted." for x in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\nshort\n{c}"), (2, f"{c}\n{b}\nx\n{a}\nend"), (2, f"{c}\n{b}\nx\n{a}\nend"), (2, None), (None, f"{a}\n{c}"), (None, b), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda r: tuple((x is None, x) for x in r)
+    one, many = (sorted((tuple(r) for r in line_dedup.deduped_lines(docs, pass_bytes=n).collect()), key=key) for n in (1 << 30, 20))
+    assert many == one and (None, f"{a}\n{c}", 2, 0, True) in many and (2, f"{c}\nx\nend", 3, 2, True) in many
+
+
 def test_stage_keeps_documents_with_short_lines_of_their_own(spark):
     head = "A license header that many files share."
     rows = [
