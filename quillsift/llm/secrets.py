@@ -9,8 +9,11 @@ and depth has no bound.  Each layer maps its characters to spans of its parent,
 deep down is reported with its span in the document: exact through URL and Unicode escapes
 and base64, the whole run through compression.
 
-A layer over ``MAX_LAYER`` characters once decompressed is reported as ``oversized layer``
-and not unpacked, so that a bomb can't take the executor.
+Compressed data is inflated as a stream, through all its members or frames and what stands
+behind them.  A layer over ``MAX_LAYER`` bytes once decompressed is reported as ``oversized
+layer`` and scanned in chunks of that size, one at a time, so that a bomb can't take the
+executor's memory.  Chunks overlap, by a run without blanks at least, but by half of their
+size at most; each is read if it is text.
 
 Defined results: null, empty and clean texts give no rows; a null ``doc_id`` is carried;
 repeated rows give repeated findings; equal findings of one span by one rule are reported
@@ -29,6 +32,8 @@ import math
 import re
 import zlib
 from collections import Counter, deque
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,7 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 MAX_LAYER = 16 << 20
+_PIECE = 1 << 20
 
 RULES = {
     "aws access key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -73,29 +79,99 @@ _UNPACK = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ": "xz", b"\x28\xb5\x
 Span = tuple[int, int]
 
 
-class Oversized(Exception):
-    pass
+_BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 
 
-def _inflate(data: bytes) -> tuple[str, bytes] | None:
-    """The codec and content of compressed data, or None."""
-    codec = next((name for magic, name in _UNPACK.items() if data.startswith(magic)), None)
-    if codec is None and len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-        codec = "zlib"
-    if codec is None:
-        return None
-    try:
+def _codec(data: bytes) -> str | None:
+    if len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    return next((name for magic, name in _UNPACK.items() if data.startswith(magic)), None)
+
+
+def _member(codec: str, data: bytes, at: int):
+    """The content of one member or frame in pieces of bounded size; returns where it ends."""
+    if codec in ("gzip", "zlib"):
+        d, step = zlib.decompressobj(47), 1 << 16
+    elif codec == "zstd":  # has no bound on its output but that of its input
+        d, step = zstandard.ZstdDecompressor().decompressobj(), 1 << 10
+    else:
+        d, step = bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(), 1 << 16
+    while at < len(data) and not d.eof:
+        piece = data[at : at + step]
+        at += len(piece)
         if codec == "zstd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER + 1)
+            yield d.decompress(piece)
         elif codec in ("gzip", "zlib"):
-            out = zlib.decompressobj(47).decompress(data, MAX_LAYER + 1)
+            yield d.decompress(piece, _PIECE)
+            while d.unconsumed_tail and not d.eof:
+                yield d.decompress(d.unconsumed_tail, _PIECE)
         else:
-            out = (bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor()).decompress(data, MAX_LAYER + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            yield d.decompress(piece, _PIECE)
+            while not d.eof and not d.needs_input:
+                yield d.decompress(b"", _PIECE)
+    if codec in ("gzip", "zlib") and not d.eof:
+        yield d.flush()
+    return at - len(d.unused_data)
+
+
+def _members(data: bytes):
+    """The content of all members or frames in a row, and what stands behind them, in pieces."""
+    at = 0
+    while at < len(data):
+        codec = _codec(data[at : at + 6])
+        if codec is None:
+            behind = data[at:].lstrip(b"\0")
+            if _codec(behind) is None:
+                yield behind
+                return
+            at = len(data) - len(behind)
+            continue
+        at = yield from _member(codec, data, at)
+
+
+def _cut(block: bytes) -> int:
+    """Where the chunk after this one starts: before the run at its end, and an overlap before it; by half a chunk at least."""
+    half, at = len(block) // 2, len(block) - len(block) // 16
+    run = max(block.rfind(c, half) for c in (b" ", b"\n", b"\t"))
+    if run >= 0:
+        at = min(at, run)
+        at = max(half, max(block.rfind(c, half, at) for c in (b" ", b"\n", b"\t")))
+    else:
+        at = half
+    while at and block[at] & 0xC0 == 0x80:  # inside a character
+        at -= 1
+    return at
+
+
+def _chunks(pieces):
+    """Readable text of a stream of bytes; beyond ``MAX_LAYER`` bytes in overlapping chunks."""
+    held = bytearray()
+    try:
+        for piece in pieces:
+            held += piece
+            while len(held) > MAX_LAYER:
+                end = MAX_LAYER
+                while end > MAX_LAYER - 4 and held[end] & 0xC0 == 0x80:
+                    end -= 1
+                block = bytes(held[:end])
+                yield _readable(block)
+                del held[: max(1, _cut(block))]
+    except _BROKEN:
+        pass  # what came before the damage is scanned
+    yield _readable(bytes(held))
+
+
+def _inflate(data: bytes):
+    """The codec and the chunks of text of compressed data, or None."""
+    codec = _codec(data)
+    if codec is None:
         return None
-    if len(out) > MAX_LAYER:
-        raise Oversized
-    return codec, out
+    pieces = _members(data)
+    try:
+        first = next(pieces, b"")
+    except _BROKEN:
+        return None
+    return codec, _chunks(chain([first], pieces))
 
 
 class Spans:
@@ -199,7 +275,7 @@ def _unquote(layer: str) -> tuple[str, Spans] | None:
     return _in_place(layer, _URL, _url_value)
 
 
-def _unbase64(run: str) -> tuple[str, str, Spans] | None:
+def _unbase64(run: str) -> tuple[str, str | Iterator, Spans | None] | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1:
         return None
@@ -209,8 +285,7 @@ def _unbase64(run: str) -> tuple[str, str, Spans] | None:
         return None
     packed = _inflate(data)
     if packed is not None:
-        text = _readable(packed[1])
-        return None if text is None else (f"base64>{packed[0]}", text, Spans.all_of(len(text), 0, len(run)))
+        return f"base64>{packed[0]}", packed[1], None
     text = _readable(data)
     if text is None:
         return None
@@ -220,18 +295,13 @@ def _unbase64(run: str) -> tuple[str, str, Spans] | None:
 
 
 def _decoded(layer: str):
-    """(codec, start and end of the run, content, spans in the run) of all that decodes in a layer; content None if oversized."""
+    """(codec, start and end of the run, content, spans in the run) of all that decodes in a layer; compressed content in chunks, all from the whole run."""
     if "%" in layer and (got := _unquote(layer)):
         yield "url", (0, len(layer)), *got
     if "\\" in layer and (got := _unescape(layer)):
         yield "unicode", (0, len(layer)), *got
     for m in _BASE64.finditer(layer):
-        try:
-            got = _unbase64(m[0])
-        except Oversized:
-            yield "base64", m.span(), None, None
-            continue
-        if got:
+        if got := _unbase64(m[0]):
             yield got[0], m.span(), got[1], got[2]
 
 
@@ -257,10 +327,10 @@ def scan(text: str | None) -> list[tuple[str, str, int, int, int, str, str]]:
     if not text:
         return []
     out, best = [], {}
-    work, seen = deque([(text, None, "", 0)]), {text}
-    while work:
-        layer, spans, path, depth = work.popleft()
-        whole = (lambda a, b, s=spans: (a, b) if s is None else s.of(a, b))
+    work, seen = deque([(text, None, "", 0)]), {_digest(text)}
+
+    def search(layer: str, spans: Spans | None, path: str, depth: int) -> None:
+        whole = (lambda a, b: (a, b)) if spans is None else spans.of
         for name, a, b, value in _found(layer):
             start, end = whole(a, b)
             digest = hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()[:16]
@@ -268,15 +338,35 @@ def scan(text: str | None) -> list[tuple[str, str, int, int, int, str, str]]:
                 best[name, start, end, digest] = True
                 out.append((name, path, depth, start, end, value[:4], digest))
         for codec, (a, b), content, inner in _decoded(layer):
-            if content is None:
-                start, end = whole(a, b)
-                out.append(("oversized layer", path, depth, start, end, "", ""))
-            elif content not in seen and content:
-                seen.add(content)
-                work.append((content, inner.within(spans, a), f"{path}>{codec}" if path else codec, depth + 1))
+            below = f"{path}>{codec}" if path else codec
+            if not isinstance(content, str):
+                work.append((content, (*whole(a, b), path), below, depth + 1))
+            elif content and new(content):
+                work.append((content, inner.within(spans, a), below, depth + 1))
+
+    def new(content: str) -> bool:
+        n = len(seen)
+        seen.add(_digest(content))
+        return len(seen) > n
+
+    while work:
+        layer, spans, path, depth = work.popleft()
+        if isinstance(layer, str):
+            search(layer, spans, path, depth)
+            continue
+        start, end, above = spans
+        for k, chunk in enumerate(layer):  # one in memory at a time
+            if k == 1:
+                out.append(("oversized layer", above, depth - 1, start, end, "", ""))
+            if chunk and new(chunk):
+                search(chunk, Spans.all_of(len(chunk), start, end), path, depth)
     return out
 
 
+def _digest(content: str) -> bytes:
+    return hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 _FINDING = T.StructType([
     T.StructField("rule", T.StringType()), T.StructField("path", T.StringType()), T.StructField("depth", T.IntegerType()),
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),

@@ -316,6 +316,24 @@ def test_spans_of_escapes():
     assert max(f[2] for f in secrets.scan("\\" + "x5c" * 30000 + "x41KIA" + SECRET[4:])) == secrets.CHAIN + 2
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress, zlib.compress])
+def test_all_members_and_chunks_are_scanned(monkeypatch, pack):
+    rules = lambda data: {f[0] for f in secrets.scan(base64.b64encode(data).decode())}
+    assert rules(pack(b"nothing here ") + pack(f"see {SECRET} here".encode())) == {"aws access key"}
+    assert rules(pack(b"nothing here ") + b"\0" * 8 + pack(f"see {SECRET} here".encode())) == {"aws access key"}
+    assert rules(pack(b"nothing here ") + f" see {SECRET} here".encode()) == {"aws access key"}
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    nested = base64.b64encode(f"see {SECRET} here".encode()).decode()
+    for at in range(940, 1010):  # over the end of the first chunk
+        for secret in (SECRET, nested):
+            assert rules(pack(("é word" * 200).encode()[: 7 * (at // 7)] + b"." * (at % 7) + f" {secret} ".encode() + "é word ".encode() * 400)) == {"aws access key", "oversized layer"}
+
+
+def test_a_large_layer_is_scanned_to_its_end():
+    data = gzip.compress(b"word " * (5 << 20) + SECRET.encode())  # 25 MB
+    assert [f[0] for f in secrets.scan(base64.b64encode(data).decode())] == ["oversized layer", "aws access key"]
+
+
 # -- packing
 
 
