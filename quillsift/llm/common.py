@@ -7,6 +7,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,23 @@ def store(df: DataFrame, tag: str) -> str:
     return path
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound Arrow batches by rows, as texts run to megabytes; keeps a setting already lower."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
+    """A string array in consecutive parts of about ``size`` bytes, one row at least; an empty one as it is.
+
+    Array passes over a text hold many bytes for each of its own, so what a worker holds is
+    bounded by the part (or by one text), whatever the size of the Arrow batch.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    if not len(texts):
+        yield texts
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

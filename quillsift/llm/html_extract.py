@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import slices
 
 WINDOW = 3
 SURGE = 86
@@ -105,11 +105,10 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE, least: i
 
 @F.arrow_udf(T.StringType())
 def _extract(pages: pa.Array) -> pa.Array:
-    return pa.array([extract(p) for p in pages.to_pylist()], pa.string())
+    return pa.array([extract(p) for part in slices(pages) for p in part.to_pylist()], pa.string())
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession, 500)
     t = pages.select("page_id", "url", _extract("html").alias("text"))
     return t.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_buffer, materialize, mix, small_batches, store
+from .common import list_buffer, materialize, mix, store
 
 MIN_CHARS = 20
 MIN_COUNT = 2
@@ -204,7 +204,6 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MI
 
 def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(r: the row of the documents as a struct, lines, hashes, gone: per line whether it goes)."""
-    small_batches(docs.sparkSession)
     path, shards, passes = build_index(docs, min_chars, min_count, pass_bytes)
     rows = docs.select(F.struct(*docs.columns).alias("r"))
     hashes = line_hashes(F.col("r.text"), min_chars)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import slices
 
 MAX_LAYER = 16 << 20
 _PIECE = 1 << 20
@@ -381,10 +381,9 @@ _ARROW = pa.list_(pa.struct([
 @F.arrow_udf(T.ArrayType(_FINDING))
 def _scan(texts: pa.Array) -> pa.Array:
     names = _FINDING.names
-    return pa.array([[dict(zip(names, f)) for f in scan(t)] for t in texts.to_pylist()], _ARROW)
+    return pa.array([[dict(zip(names, f)) for f in scan(t)] for part in slices(texts) for t in part.to_pylist()], _ARROW)
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """One row a finding: doc_id, rule, path, depth, start, end, preview, digest."""
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.inline(_scan("text")))

@@ -1,37 +1,49 @@
 """SimHash near-dedup over deletion-variant signatures.
 
-Every document gets a ``BITS``-bit SimHash of its words.  To find all signatures within a
-few bits without comparing all pairs, the signature is cut into ``segments``.  If two
-signatures differ in at most ``2 * segments - 1`` bits, some segment differs by at most one,
-so it is enough to index each segment once per wildcard position (that bit deleted): two
-segments that differ by at most one bit agree in a variant.  Fewer, wider segments than in
-the exact-segment scheme keep the keys selective.  Equal variants are joined and each
-candidate is verified on the whole signature.  With the defaults the search is complete up
-to 11 differing bits; up to the radius of 14, for bits that flip independently, at least
-90 % of the pairs are found (93 % at 13 bits, 96 % at 12).
-
-Groups are the connected components of the verified pairs.
+Every document gets a ``BITS``-bit SimHash of its words of more than ``SHORT`` bytes (of all
+words, if it has no other): short words are those that all documents of a language share, and
+would make strangers look alike.  To find all signatures within a few bits without comparing
+all pairs, the signature is cut into ``segments``.  If two signatures differ in at most
+``2 * segments - 1`` bits, some segment differs by at most one, so it is enough to index each
+segment once per wildcard position (that bit deleted): two segments that differ by at most one
+bit agree in a variant.  Fewer, wider segments than in the exact-segment scheme keep the keys
+selective.  Documents meet by an equality shuffle on the variant and each candidate is verified
+on the whole signature.  With the defaults the search is complete up to 11 differing bits; up
+to the radius of 20, for bits that flip independently, the rate falls (95 % at 14 bits, 71 %
+at 18, 56 % at 20); near copies are mostly well below the radius.
+
+Equal signatures are one class.  The classes of a variant are sorted together and compared in
+array passes; what leaves a task is not the pairs, but a spanning forest of them and each
+class's number of links, so a group of thousands costs no thousands of thousands of rows.  A
+variant that more than ``HOT_ROWS`` classes share is cut into blocks, and each pair of blocks
+is a task of its own.  Groups are the connected components of the verified pairs.
 
 Defined results: a document without any word (null, empty, only punctuation) has no
-signature and is a group of its own; null ``doc_id`` passes through ungrouped; rows that
-repeat a ``doc_id`` belong to one group, and of fully repeated rows one stays; ties go to
-the smallest ``doc_id``; an empty table gives an empty result; other columns are not read.
-Texts are hashed whole, in pieces of bounded memory.
+signature, is a group of its own and has no links; null ``doc_id`` passes through ungrouped;
+a ``doc_id`` must be a whole number, or a string of one (any other is an error); rows that
+repeat a ``doc_id`` belong to one group (with other texts, to that of the smallest id and have
+its links), and of fully repeated rows one stays; ties go to the smallest ``doc_id``; an empty
+table gives an empty result; other columns are not read.  Texts are hashed whole, in pieces of
+bounded memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, small_batches, text_buffer, word_hashes
+from .common import _FOLD, materialize, mix, slices, span_hashes, text_buffer, word_spans
 
 BITS = 128
 SEGMENTS = 6
-RADIUS = 14
+RADIUS = 20
+SHORT = 3
+HOT_ROWS = 1 << 14
 
 _LANES = np.zeros(16, np.uint64)  # each bit of a nibble in its own 16-bit lane
 for _v in range(16):
@@ -46,7 +58,11 @@ def signatures(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     documents of a language share do not decide the bits.
     """
     n = len(offsets) - 1
-    hashes, rows = word_hashes(offsets, data)
+    starts, ends, rows = word_spans(offsets, data)
+    long = ends - starts > SHORT
+    long |= np.bincount(rows[long], minlength=n)[rows] == 0
+    starts, ends, rows = starts[long], ends[long], rows[long]
+    hashes = span_hashes(_FOLD[data], starts, ends)
     hi, lo, any_word = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
     if not len(hashes):
         return hi, lo, any_word
@@ -76,63 +92,190 @@ def signatures(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @F.arrow_udf(T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
 def _signature(texts: pa.Array) -> pa.Array:
-    hi, lo, some = signatures(*text_buffer(texts))
+    hi, lo, some = (np.concatenate(x) for x in zip(*(signatures(*text_buffer(part)) for part in slices(texts))))
     return pa.StructArray.from_arrays(
         [pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], names=["hi", "lo"], mask=pa.array(~some)
     )
 
 
-def variant_masks(segments: int = SEGMENTS) -> list[tuple[int, int, int]]:
-    """(variant, mask of the high half, mask of the low half) for each segment and wildcard."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    out, bounds = [], [round(i * BITS / segments) for i in range(segments + 1)]
-    for a, b in zip(bounds, bounds[1:]):
-        for wild in range(a, b):
-            mask = ((1 << b) - (1 << a)) & ~(1 << wild)
-            out.append((len(out), signed(mask >> 64), signed(mask & ((1 << 64) - 1))))
-    return out
+def bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
+    """First bit and end of each segment."""
+    at = [round(i * BITS / segments) for i in range(segments + 1)]
+    return list(zip(at, at[1:]))
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo) of the documents that have a signature."""
-    small_batches(docs.sparkSession)
     signed = docs.select("doc_id", _signature(F.lower("text")).alias("s")).where("doc_id is not null and s is not null")
     return signed.select(F.col("doc_id").cast("bigint"), "s.hi", "s.lo")
 
 
-def _shared_variant(hi: Column, lo: Column, segments: int) -> Column:
-    """The first variant two signatures agree in, from the bits they differ in; null if there is none.
-
-    A variant's number is its wildcard bit, so it is the one bit a segment differs in, or the
-    segment's first bit where it does not differ.
-    """
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    out, bounds = F.lit(None).cast("int"), [round(i * BITS / segments) for i in range(segments + 1)]
-    for a, b in reversed(list(zip(bounds, bounds[1:]))):
-        mask = (1 << b) - (1 << a)
-        own_hi, own_lo = hi.bitwiseAND(F.lit(signed(mask >> 64))), lo.bitwiseAND(F.lit(signed(mask & ((1 << 64) - 1))))
-        bits = F.bit_count(own_hi) + F.bit_count(own_lo)
-        place = F.when(own_lo != 0, F.length(F.bin(own_lo)) - 1).otherwise(F.length(F.bin(own_hi)) + 63)
-        out = F.when(bits == 0, F.lit(a)).when(bits == 1, place).otherwise(out)
-    return out.cast("int")
+#: A variant in one number, from the top: its wildcard bit, its segment without that bit, a pair of blocks, and which of the two a row is of.
+_SIDE, _BLOCK = 1, 12
+_SHIFT = _SIDE + 2 * _BLOCK
+_WILD = 7
 
 
-def near_pairs(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b), a < b, of the nodes (node, hi, lo) whose signatures differ in at most ``radius`` bits.
-
-    Two nodes meet in every variant they agree in; only the first of these yields the pair,
-    so the pairs need no shuffle to be made distinct.
+def variants(nodes: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(key, node, hi, lo): each node once for each wildcard bit."""
+    width = max(b - a for a, b in bounds(segments))
+    assert width + _WILD + _SHIFT <= 63, "more segments are needed"
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for a, b in bounds(segments):
+        for wild in range(a, b):
+            mask = ((1 << b) - (1 << a)) & ~(1 << wild)
+            # A segment's bits in either half, moved to the low end: right, then left where it straddles the halves.
+            rows.append((wild << width, signed(mask >> 64), max(a - 64, 0), max(64 - a, 0) if b > 64 else 0, signed(mask & (1 << 64) - 1), a if a < 64 else 0))
+    names = ("wild", "mh", "rh", "lh", "ml", "rl")
+    kinds = ("L", "L", "", "", "L", "")
+    masks = F.expr(f"array({', '.join('named_struct(' + ', '.join(f"'{n}', {x}{k}" for n, x, k in zip(names, r, kinds)) + ')' for r in rows)})")
+    m = nodes.select("node", "hi", "lo", F.explode(masks).alias("m"))
+    high = "shiftleft(shiftrightunsigned(hi & m.mh, m.rh), m.lh)"
+    return m.select(F.expr(f"m.wild | {high} | shiftrightunsigned(lo & m.ml, m.rl)").alias("key"), "node", "hi", "lo")
+
+
+class Links:
+    """Verified pairs of a task, as a spanning forest of them and the number of links of each node."""
+
+    def __init__(self, forest: bool, hold: int = 1 << 20):
+        self.forest, self.hold, self.a, self.b, self.n = forest, hold, [], [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.a.append(np.minimum(x, y))
+        self.b.append(np.maximum(x, y))
+        self.n += len(x)
+
+    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """(a, b, links): edges with 0 links, and nodes, a = b, with theirs; without ``forest`` every pair."""
+        if not self.n or not (last or self.n >= self.hold):
+            return
+        a, b = np.concatenate(self.a), np.concatenate(self.b)
+        self.a, self.b, self.n = [], [], 0
+        links = np.zeros(len(a), np.int64)
+        if self.forest:
+            node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            own = np.bincount(at)
+            low, x, y = np.arange(len(node)), at[: len(a)], at[len(a) :]
+            while True:  # every node takes the least label next to it, then that label's own
+                least = np.minimum(low[x], low[y])
+                new = low.copy()
+                np.minimum.at(new, x, least)
+                np.minimum.at(new, y, least)
+                np.minimum.at(new, low[x], least)
+                np.minimum.at(new, low[y], least)
+                new = new[new]
+                if (new == low).all():
+                    break
+                low = new
+            child = np.flatnonzero(low != np.arange(len(node)))
+            a, b, links = (np.concatenate(p) for p in ((node[low[child]], node), (node[child], node), (np.zeros(len(child), np.int64), own)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links)], names=["a", "b", "links"])
+
+
+_CHUNK = 1 << 17
+_LARGE = 64
+
+
+def _verify(group: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, segments: int, radius: int, links: Links) -> Iterator[pa.RecordBatch]:
+    """Compare all rows of a group with each other, for whole groups, sorted; ``group`` has the side in its last bit."""
+    of = group >> _SIDE
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    end = np.append(first[1:], len(of))
+    width = max(b - a for a, b in bounds(segments))
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> None:
+        """Those of the near pairs i, j for which this variant is the first that they share."""
+        x, y = hi[i] ^ hi[j], lo[i] ^ lo[j]
+        shared = np.full(len(i), -1)
+        for a, b in reversed(bounds(segments)):
+            mask = (1 << b) - (1 << a)
+            h, w = x & np.uint64(mask >> 64), y & np.uint64(mask & (1 << 64) - 1)
+            bits = np.bitwise_count(h) + np.bitwise_count(w)
+            place = np.where(w > 0, _top(w), _top(h) + 64)
+            shared = np.where(bits == 0, a, np.where(bits == 1, place, shared))
+        cross = (group[i] >> _SIDE & (1 << 2 * _BLOCK) - 1) % ((1 << _BLOCK) + 1) != 0  # two blocks: only pairs between them
+        ok = (shared == group[i] >> (_SHIFT + width)) & (~cross | (group[i] & 1 != group[j] & 1)) & (node[i] != node[j])
+        links.add(node[i[ok]], node[j[ok]])
+
+    near = lambda x, y: np.bitwise_count(x) + np.bitwise_count(y) <= radius
+    size = end - first
+    i = np.flatnonzero(np.repeat((size > 1) & (size <= _LARGE), size))
+    until = np.repeat(end, size)
+    for step in range(1, _LARGE):
+        i = i[i + step < until[i]]
+        if not len(i):
+            break
+        k = i[near(hi[i] ^ hi[i + step], lo[i] ^ lo[i + step])]
+        pairs(k, k + step)
+    for a, b in zip(first[size > _LARGE].tolist(), end[size > _LARGE].tolist()):
+        two = int(group[a] >> _SIDE & (1 << 2 * _BLOCK) - 1) % ((1 << _BLOCK) + 1) != 0
+        split = int(np.searchsorted(group[a:b] & 1, 1)) + a
+        for r in range(a, split):  # one row against all after it, or all of the other block
+            s = split if two else r + 1
+            k = np.flatnonzero(near(hi[s:b] ^ hi[r], lo[s:b] ^ lo[r])) + s
+            if len(k):
+                pairs(np.full(len(k), r), k)
+                yield from links.rows(False)
+
+
+def _top(x: np.ndarray) -> np.ndarray:
+    """The place of the one bit of each number."""
+    return np.bitwise_count(x - np.uint64(1)).astype(np.int64) % 65
+
+
+_LINK = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])
+
+
+def _searcher(segments: int, radius: int, forest: bool):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, held = Links(forest), None
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "node", "hi", "lo")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if len(held[0]) < _CHUNK:
+                continue
+            of = held[0] >> _SIDE
+            cut = int(np.searchsorted(of, of[-1]))  # the last group may go on
+            if cut:
+                yield from _verify(held[0][:cut], held[1][:cut], held[2][:cut].view(np.uint64), held[3][:cut].view(np.uint64), segments, radius, links)
+                yield from links.rows(False)
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield from _verify(held[0], held[1], held[2].view(np.uint64), held[3].view(np.uint64), segments, radius, links)
+        yield from links.rows(True)
+
+    return search
+
+
+def linked(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot_rows: int = HOT_ROWS, forest: bool = True) -> DataFrame:
+    """(a, b, links) of the nodes (node, hi, lo): the pairs within ``radius``, as ``Links`` gives them.
+
+    Which variants are hot is read off one node in 16, which decides how the work is cut and
+    nothing else: a cut group has the same pairs as a whole one.
     """
-    masks = F.array(*[F.struct(*[F.lit(x) for x in m]) for m in variant_masks(segments)])
-    key = lambda m, hi, lo: F.xxhash64(m["col1"], hi.bitwiseAND(m["col2"]), lo.bitwiseAND(m["col3"]))
-    variants = nodes.select("node", "hi", "lo", F.explode(masks).alias("m")).select(key(F.col("m"), F.col("hi"), F.col("lo")).alias("key"), "node", "hi", "lo")
-    a, b = variants.alias("a"), variants.alias("b")
-    hi, lo = F.col("a.hi").bitwiseXOR(F.col("b.hi")), F.col("a.lo").bitwiseXOR(F.col("b.lo"))
-    near = F.bit_count(hi) + F.bit_count(lo) <= radius
-    shared = F.element_at(masks, _shared_variant(hi, lo, segments) + 1)
-    first = F.coalesce(key(shared, F.col("a.hi"), F.col("a.lo")) == F.col("a.key"), F.lit(False))
-    joined = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near & first)
-    return joined.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    v = variants(nodes, segments)
+    part = variants(nodes.where(F.pmod(F.xxhash64("node", F.lit("hot")), F.lit(16)) == 0), segments)
+    counted = part.groupBy("key").agg((F.count(F.lit(1)) * 16).alias("__n")).where(F.col("__n") > hot_rows)
+    blocks = F.least(F.ceil(F.col("__n") * 2 / hot_rows), F.lit((1 << _BLOCK) - 1)).cast("int")
+    hot = materialize(counted.select(F.col("key").alias("__hot"), blocks.alias("__blocks")), "hot")
+    if hot.isEmpty():
+        g = v.select(F.shiftleft("key", _SHIFT).alias("g"), "node", "hi", "lo")
+    else:
+        # The hot keys are at most a few for each ``hot_rows`` rows; Catalyst broadcasts them by their size.
+        own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("__n")).cast("bigint")
+        each = v.join(hot, F.col("key") == F.col("__hot"), "left").withColumn("__n", F.coalesce("__blocks", F.lit(1)))
+        each = each.withColumn("__own", own).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n").cast("bigint") - 1)))
+        pair = F.least("__own", "__with") * (1 << _BLOCK) + F.greatest("__own", "__with")
+        side = (F.col("__own") > F.col("__with")).cast("bigint")
+        g = each.select((F.shiftleft("key", _SHIFT) + pair * 2 + side).alias("g"), "node", "hi", "lo")
+    sorted_ = g.repartition(F.shiftright("g", _SIDE)).sortWithinPartitions("g")
+    return sorted_.mapInArrow(_searcher(segments, radius, forest), _LINK)
+
+
+def near_pairs(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs (a, b), a < b, of the nodes whose signatures differ in at most ``radius`` bits, each once: for small results."""
+    return linked(nodes, segments, radius, hot_rows, forest=False).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,25 +302,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, group_id, hi, lo) of each distinct document with a signature, in a written table.
+    """(doc_id, group_id, n_links) of each distinct document with a signature, in a written table.
 
-    Equal signatures collapse to one node before the join, so copies by the thousand cost
+    Equal signatures collapse to one node before the search, so copies by the thousand cost
     as much as one document.
     """
     signed = materialize(signature_table(docs).distinct(), "simhash")
     nodes = materialize(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(near_pairs(nodes, segments, radius))
-    named = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"))
-    return materialize(signed.join(named, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.min_by("hi", "group_id").alias("hi"), F.min_by("lo", "group_id").alias("lo")), "groups")
+    found = materialize(linked(nodes, segments, radius), "links")
+    roots = components(found.where("a <> b").select("a", "b"))
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = nodes.join(roots, "node", "left").join(links, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("n"))
+    one = signed.join(named, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.min_by("n", F.struct("group_id", "n")).alias("n_links"))
+    return materialize(one, "groups")
 
 
 def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """One row a document: doc_id, group_id (its smallest doc_id), simhash in hex, is_duplicate."""
+    """One row a document: doc_id, group_id (its smallest doc_id), n_links, is_duplicate.
+
+    ``n_links`` is the number of other signatures within the radius of the document's own;
+    equal signatures are of one class and not counted.
+    """
     g = groups(docs, segments, radius)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    simhash = F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
     return ids.join(g, "doc_id", "left").select(
-        "doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), simhash.alias("simhash"),
+        "doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
         F.coalesce(F.col("group_id") != F.col("doc_id"), F.lit(False)).alias("is_duplicate"),
     )
 

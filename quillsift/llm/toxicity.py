@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, slices
 
 PER_WORDS = 100
 LEAST_WORDS = 40
@@ -135,7 +135,7 @@ def _scorer(lexicon: dict[str, float]):
         if key not in _built:
             _built.clear()
             _built[key] = Matcher(lexicon, EXCEPTIONS)
-        got = [score(_built[key], t) for t in texts.to_pylist()]
+        got = [score(_built[key], t) for part in slices(texts) for t in part.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int32())], names=["score", "n_matches"]
         )
@@ -174,7 +174,6 @@ def mine(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict[
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, score, n_matches, toxic."""
-    small_batches(docs.sparkSession)
     lexicon = dict(CURATED)
     for term, weight in (mine(docs, labels) if labels is not None else {}).items():
         lexicon[term] = max(weight, lexicon.get(term, 0.0))

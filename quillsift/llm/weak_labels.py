@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, positive, small_batches, span_hashes, text_buffer, word_hashes
+from .common import mix, positive, slices, span_hashes, text_buffer, word_hashes
 from .quality_rules import common_words
 
 TRAIN_ROWS = 4000
@@ -150,6 +150,10 @@ _FEATURES = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())),
 
 @F.arrow_udf(_FEATURES)
 def _features(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_features_of(part) for part in slices(texts)])
+
+
+def _features_of(texts: pa.Array) -> pa.Array:
     offsets, data = text_buffer(texts)
     buckets, rows = token_features(offsets, data)
     n = np.maximum(tokens_of(offsets, buckets, rows), 1)
@@ -189,7 +193,7 @@ def linear_scores(offsets: np.ndarray, data: np.ndarray, weights: np.ndarray) ->
 def _scorer(weights: np.ndarray):
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(np.round(linear_scores(*text_buffer(texts), weights), 6))
+        return pa.array(np.round(np.concatenate([linear_scores(*text_buffer(part), weights) for part in slices(texts)]), 6))
 
     return scored
 
@@ -215,7 +219,6 @@ def labelled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 def classified(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, posterior, score, keep."""
-    small_batches(docs.sparkSession)
     every, _, n = labelled(docs)
     posterior = _posterior(every)("code")
     bound = ((1 << 63) - 1) * min(train_rows, n) // max(n, 1)

@@ -144,6 +144,10 @@ def test_stage_keeps_documents_with_short_lines_of_their_own(spark):
 # -- SimHash
 
 
+def _signed(x):
+    return [v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & (1 << 64) - 1)]
+
+
 def test_variants_cover_all_close_signatures(spark):
     rng = random.Random(4)
     rows, pairs = [], set()
@@ -151,36 +155,82 @@ def test_variants_cover_all_close_signatures(spark):
         base = rng.getrandbits(simhash.BITS)
         flips = rng.sample(range(simhash.BITS), k % 12)  # up to 2 * segments - 1: all must be found
         for i, x in enumerate((base, base ^ sum(1 << f for f in flips))):
-            signed = [v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & (1 << 64) - 1)]
-            rows.append((2 * k + i, *signed))
+            rows.append((2 * k + i, *_signed(x)))
         pairs.add((2 * k, 2 * k + 1))
     got = simhash.near_pairs(spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(pairs)  # each once
 
 
-def test_recall_at_the_radius(spark):
+def test_recall_at_14_bits(spark):
     rng = random.Random(6)
     rows = []
     for k in range(1500):
         base = rng.getrandbits(simhash.BITS)
-        for i, x in enumerate((base, base ^ sum(1 << f for f in rng.sample(range(simhash.BITS), simhash.RADIUS)))):
-            rows.append((2 * k + i, *[v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & (1 << 64) - 1)]))
+        for i, x in enumerate((base, base ^ sum(1 << f for f in rng.sample(range(simhash.BITS), 14)))):
+            rows.append((2 * k + i, *_signed(x)))
     assert simhash.near_pairs(spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint")).count() >= 0.9 * 1500
 
 
+@pytest.mark.parametrize("hot_rows", [simhash.HOT_ROWS, 64])
+def test_pairs_links_and_forest_of_large_groups(spark, hot_rows):
+    """Groups of three, and one of hundreds that share variants: whole, and cut into blocks."""
+    rng, all_ = random.Random(7), []
+    for size in [3] * 100 + [300]:
+        base = rng.getrandbits(simhash.BITS)
+        all_ += [base ^ sum(1 << f for f in rng.sample(range(simhash.BITS), rng.randrange(12))) for _ in range(size)]
+    want = {
+        (i, j) for i in range(len(all_)) for j in range(i + 1, len(all_)) if (all_[i] ^ all_[j]).bit_count() <= simhash.RADIUS
+        and min(((all_[i] ^ all_[j]) >> a & (1 << b - a) - 1).bit_count() for a, b in simhash.bounds()) <= 1
+    }
+    nodes = spark.createDataFrame([(i, *_signed(x)) for i, x in enumerate(all_)], "node bigint, hi bigint, lo bigint")
+    got = [tuple(r) for r in simhash.near_pairs(nodes, hot_rows=hot_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    links, edges = {}, []
+    for a, b, n in simhash.linked(nodes, hot_rows=hot_rows).collect():
+        if a == b:
+            links[a] = links.get(a, 0) + n
+        else:
+            edges.append((a, b))
+    assert links == {i: sum(i in p for p in want) for i in {x for p in want for x in p}}
+    assert len(edges) < len(want) and _roots(len(all_), edges) == _roots(len(all_), want)
+
+
+def _roots(n, edges):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return [root(i) for i in range(n)]
+
+
 def test_signatures_bit_by_bit():
     import pyarrow as pa
 
-    text = "a rose is a rose is a rose " * 3 + " ".join(f"w{i}" for i in range(5000))
-    offsets, data = common.text_buffer(pa.array([text, "x"]))
-    hi, lo, _ = simhash.signatures(offsets, data)
-    hashes, rows = common.word_hashes(offsets, data)
-    words, freq = np.unique(hashes[rows == 0], return_counts=True)
-    weight, total = 1 + np.log2(freq).astype(int), 0
+    text = "a rose is a rose is a rose " * 3 + " ".join(f"word{i}" for i in range(5000))
+    offsets, data = common.text_buffer(pa.array([text, "x", "it is so"]))
+    hi, lo, some = simhash.signatures(offsets, data)
+    hashes, rows = common.word_hashes(*common.text_buffer(pa.array([" ".join(w for w in text.split() if len(w) > simhash.SHORT)])))
+    words, freq = np.unique(hashes, return_counts=True)
+    weight = 1 + np.log2(freq).astype(int)
     low = common.mix(words)
     total = weight.sum()
     want = sum(1 << b for b in range(64) if 2 * int((((low >> np.uint64(b)) & np.uint64(1)).astype(int) * weight).sum()) > total)
-    assert int(lo[0]) == want
+    assert int(lo[0]) == want and some.all() and lo[1] == common.mix(common.word_hashes(*common.text_buffer(pa.array(["x"])))[0])[0]
+
+
+def test_slices_cover_all_rows():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "", "b" * 100, "c"])
+    parts = [p.to_pylist() for p in common.slices(texts.slice(1), 12)]
+    assert sum(parts, []) == texts.to_pylist()[1:] and len(parts) == 3
+    assert [len(p) for p in common.slices(texts.slice(0, 0))] == [0]
 
 
 def test_groups_against_all_pairs(spark):
