@@ -3,8 +3,9 @@
 Every document is a worklist of layers, at first its text.  A layer is scanned by the rules,
 and adds a layer with all its URL escapes decoded in place (bytes that are not UTF-8 as
 replacement characters), one with all its Unicode and hex escapes, and one for every run
-that decodes as base64, or as gzip, zlib, bzip2, xz or zstandard data inside base64.  The
-list runs to its fixpoint: a layer whose content was seen in the document is not added again, so cycles end
+that decodes as base64, or as gzip, zlib, bzip2, xz or zstandard data inside base64.  A run
+that does not, is tried again from each ``/``, ``-`` and ``_`` in it on, to its end and to the
+next of them, as paths and names run into coded text there.  The list runs to its fixpoint: a layer whose content was seen in the document is not added again, so cycles end
 and depth has no bound.  Each layer maps its characters to spans of its parent, so a finding
 deep down is reported with its span in the document: exact through URL and Unicode escapes
 and base64, the whole run through compression.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import lzma
@@ -74,6 +76,7 @@ _ESCAPED = re.compile(
 )
 _STRAY = re.compile(r"[\udc80-\udcff]")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+_JOINT = re.compile(r"[/_-]")
 _UNPACK = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
 Span = tuple[int, int]
@@ -115,14 +118,14 @@ def _member(codec: str, data: bytes, at: int):
 
 
 def _members(data: bytes):
-    """The content of all members or frames in a row, and what stands behind them, in pieces."""
+    """The content of all members or frames in a row, None, and what stands behind them, in pieces."""
     at = 0
     while at < len(data):
         codec = _codec(data[at : at + 6])
         if codec is None:
             behind = data[at:].lstrip(b"\0")
             if _codec(behind) is None:
-                yield behind
+                yield from (None, behind)
                 return
             at = len(data) - len(behind)
             continue
@@ -144,21 +147,25 @@ def _cut(block: bytes) -> int:
 
 
 def _chunks(pieces):
-    """Readable text of a stream of bytes; beyond ``MAX_LAYER`` bytes in overlapping chunks."""
-    held = bytearray()
+    """(readable text or None, whether it is over the limit) of a stream of bytes; beyond ``MAX_LAYER`` bytes in overlapping chunks."""
+    held, over = bytearray(), False
     try:
         for piece in pieces:
+            if piece is None:  # what stands behind may be no text
+                yield _readable(bytes(held)), over
+                held.clear()
+                continue
             held += piece
             while len(held) > MAX_LAYER:
-                end = MAX_LAYER
+                end, over = MAX_LAYER, True
                 while end > MAX_LAYER - 4 and held[end] & 0xC0 == 0x80:
                     end -= 1
                 block = bytes(held[:end])
-                yield _readable(block)
+                yield _readable(block), over
                 del held[: max(1, _cut(block))]
     except _BROKEN:
         pass  # what came before the damage is scanned
-    yield _readable(bytes(held))
+    yield _readable(bytes(held)), over
 
 
 def _inflate(data: bytes):
@@ -212,9 +219,15 @@ def _readable(data: bytes) -> str | None:
     return text if _printable(text) else None
 
 
+_PLAIN = bytes([9, 10, 13, *range(32, 127)])
+
+
 def _printable(text: str) -> bool:
-    good = sum(c.isprintable() or c in "\r\n\t" for c in text)
-    return bool(text) and good >= 0.95 * len(text)
+    if text.isascii():
+        bad = len(text.encode().translate(None, _PLAIN))
+    else:
+        bad = len(text) - sum(map(str.isprintable, text)) - sum(map(text.count, "\r\n\t"))
+    return bool(text) and bad <= 0.05 * len(text)
 
 
 def _widths(text: str) -> np.ndarray:
@@ -278,7 +291,9 @@ def _unquote(layer: str) -> tuple[str, Spans] | None:
 def _unbase64(run: str) -> tuple[str, str | Iterator, Spans | None] | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        if _codec(_bytes(body[:8])) is None:
+            return None
+        body = body[:-1]  # behind compressed data anything may stand
     try:
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
@@ -294,6 +309,57 @@ def _unbase64(run: str) -> tuple[str, str | Iterator, Spans | None] | None:
     return "base64", text, Spans(4 * first // 3, np.minimum(len(body), 4 * last // 3 + 2))
 
 
+def _coded(run: str) -> list[tuple[int, int]]:
+    """The parts of a run that may decode: all of it, or else what follows a separator, to the end or another separator.
+
+    The end of a run decodes alike from all places of one alignment, so of those that look
+    right at most one fails for each alignment, and the time is linear in the run.
+    """
+    if _unbase64(run) is not None:
+        return [(0, len(run))]
+    cuts = [0, *(m.end() for m in _JOINT.finditer(run))]
+    ends = [*(c - 1 for c in cuts[1:]), len(run)]
+    out, failed, until = [], set(), 0
+    for k, (p, q) in enumerate(zip(cuts, ends)):
+        if p < until or len(run) - p < 16:
+            continue
+        if p % 4 not in failed and _looks_coded(run[p : p + 16]):
+            good = p + _good(run[p:])
+            last = bisect.bisect_right(ends, good)  # ends up to the last good character
+            best = next((e for e in [*ends[max(last, k) : last + 1], *reversed(ends[max(k, last - 4) : last])] if e - p >= 16 and _unbase64(run[p:e]) is not None), None)
+            if best is not None:
+                out.append((p, best))
+                until = best
+                continue
+            failed.add(p % 4)
+        if len(cuts) > 1 and q - p >= 16:
+            out.append((p, q))
+    return out
+
+
+def _bytes(run: str) -> bytes:
+    """What the whole groups of four characters of a run decode to."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    return base64.b64decode(body[: len(body) // 4 * 4])
+
+
+def _looks_coded(start: str) -> bool:
+    """Whether the first characters of a run decode to the start of a text or of compressed data."""
+    data = _bytes(start)
+    return _codec(data) is not None or all(c >= 32 or c in b"\t\r\n" for c in data)
+
+
+def _good(run: str) -> int:
+    """How many characters of a run decode to UTF-8; all of them, if it is compressed."""
+    data = _bytes(run)
+    if _codec(data) is None:
+        try:
+            data.decode()
+        except UnicodeDecodeError as e:
+            return (e.start * 4 + 2) // 3
+    return len(run)
+
+
 def _decoded(layer: str):
     """(codec, start and end of the run, content, spans in the run) of all that decodes in a layer; compressed content in chunks, all from the whole run."""
     if "%" in layer and (got := _unquote(layer)):
@@ -301,8 +367,9 @@ def _decoded(layer: str):
     if "\\" in layer and (got := _unescape(layer)):
         yield "unicode", (0, len(layer)), *got
     for m in _BASE64.finditer(layer):
-        if got := _unbase64(m[0]):
-            yield got[0], m.span(), got[1], got[2]
+        for a, b in _coded(m[0]):
+            if got := _unbase64(m[0][a:b]):
+                yield got[0], (m.start() + a, m.start() + b), got[1], got[2]
 
 
 def entropy(s: str) -> float:
@@ -355,8 +422,10 @@ def scan(text: str | None) -> list[tuple[str, str, int, int, int, str, str]]:
             search(layer, spans, path, depth)
             continue
         start, end, above = spans
-        for k, chunk in enumerate(layer):  # one in memory at a time
-            if k == 1:
+        large = False
+        for chunk, over in layer:  # one in memory at a time
+            if over and not large:
+                large = True
                 out.append(("oversized layer", above, depth - 1, start, end, "", ""))
             if chunk and new(chunk):
                 search(chunk, Spans.all_of(len(chunk), start, end), path, depth)
