@@ -9,10 +9,11 @@ a document is the sum of the weights of its matches per ``PER_WORDS`` words, wit
 ``LEAST_WORDS`` words, and it is toxic from ``THRESHOLD`` on.
 
 The lexicon is a curated list, and, where the ``labels`` table has toxic documents, the
-words and word stems that set them apart: those whose G2 statistic is at least ``MIN_G2``
-and whose rate in toxic documents is at least ``MIN_RATIO`` times that in others.  They are
-mined from at most ``LABELLED_ROWS`` labelled documents of either kind, the first by a hash
-of doc_id; scoring covers all documents, whole texts.
+words that set them apart: those whose G2 statistic is at least ``MIN_G2`` and whose rate in
+toxic documents is at least ``MIN_RATIO`` times that in others.  They are mined from at most
+``LABELLED_ROWS`` labelled documents of either kind, the first by a hash of doc_id, so their
+number is bounded by the words of that sample; none is left out.  Scoring covers all
+documents, whole texts.
 
 Defined results: null and empty texts score 0; documents without labels and a null
 ``doc_id`` are scored alike; repeated rows get equal scores, and weigh once in mining; null
@@ -35,10 +36,8 @@ PER_WORDS = 100
 LEAST_WORDS = 40
 THRESHOLD = 1.0
 LABELLED_ROWS = 4000
-MIN_G2 = 25.0
-MIN_RATIO = 20.0
-STEMS = (5, 6)
-MOST_MINED = 5000
+MIN_G2 = 15.0
+MIN_RATIO = 50.0
 
 CURATED = {
     "idiot": 2, "idiots": 2, "idiotic": 2, "moron": 2, "morons": 2, "moronic": 2, "imbecile": 2, "stupid": 1.5, "dumbass": 2.5,
@@ -151,7 +150,7 @@ def _g2(k: Column, n: Column, rest: Column, rest_n: Column) -> Column:
 
 
 def mine(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict[str, float]:
-    """Words and stems of the labelled toxic documents, with the logarithm of their rate ratio as weight."""
+    """Words of the labelled toxic documents, with the logarithm of their rate ratio as weight."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad"))
     first = lambda bad: known.where(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = first(True).unionByName(first(False))  # at most 2 * rows ids
@@ -162,14 +161,13 @@ def mine(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict[
     if not n or not rest_n:
         return {}
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), 0))
-    stems = [F.transform(F.filter("w", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
-    terms = small.select("bad", words.alias("w")).select("bad", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
+    terms = small.select("bad", F.explode(words).alias("term"))
     counted = terms.groupBy("term").agg(F.count_if("bad").alias("k"), F.count_if(~F.col("bad")).alias("r"))
     ratio = ((F.col("k") + 0.5) / (n + 1)) / ((F.col("r") + 0.5) / (rest_n + 1))
     g2 = _g2(F.col("k").cast("double"), F.lit(float(n)), F.col("r").cast("double"), F.lit(float(rest_n)))
     apart = counted.where(F.col("k") * rest_n > F.col("r") * n).where((g2 >= MIN_G2) & (ratio >= MIN_RATIO))
-    top = apart.select("term", F.round(F.least(F.log10(ratio), F.lit(2.0)), 3).alias("weight"), g2.alias("g2"))
-    return {r["term"]: r["weight"] for r in top.orderBy(F.desc("g2"), "term").limit(MOST_MINED).collect()}
+    weight = F.round(F.least(F.log10(ratio), F.lit(2.0)), 3).alias("weight")
+    return {r["term"]: r["weight"] for r in apart.select("term", weight).orderBy("term").collect()}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
