@@ -3,10 +3,11 @@
 Lines are hashed on the JVM and counted.  The distinct hashes of lines that occur at least
 ``min_count`` times are cut into shards; each shard gets a minimal perfect hash (levels of
 bit arrays: a key that lands alone on a bit of a level is placed there, the others go on to
-the next level; its rank among the set bits is its slot) over three compact arrays: a 32-bit
-fingerprint, a 16-bit saturating count and the smallest ``doc_id`` that holds the line.
-Documents then probe the arrays with their line hashes, so no line is joined: a hash that is
-not indexed falls off the levels or misses the fingerprint.
+the next level; its rank among the set bits is its slot) over compact arrays: a fingerprint, a
+16-bit saturating count, the smallest ``doc_id`` that holds the line, and how much text that
+document has.  Documents then probe the arrays with their line hashes, so no line is joined: a
+hash that is not indexed falls off the levels or misses the fingerprint.  A fingerprint has all
+64 bits of the hash, as with 32 one line in four thousand million would go by mistake.
 
 A line stays in the first document that holds it (smallest ``doc_id``), at its first place,
 and goes everywhere else.  Lines are compared trimmed of spaces and in lower case; lines
@@ -17,9 +18,11 @@ The arrays are read from the shared folder by each Python worker while they fit
 worker's memory does not grow with the corpus.
 
 Defined results: a null text stays null and an empty one empty; a null ``doc_id`` passes
-through and counts nowhere; rows that repeat a ``doc_id`` are one document and get the same
-text (their lines are counted once a row); an empty table gives an empty result; all other
-columns of the documents are carried along, whatever their names.
+through and counts nowhere; a ``doc_id`` must be a whole number, or a string of one (any other
+is an error); rows that repeat a ``doc_id`` each keep the first place in their own text of the
+lines that this id is the first to hold (lines are counted once a row), so equal rows stay
+equal; an empty table gives an empty result; all other columns of the documents are carried
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +43,9 @@ MIN_CHARS = 20
 MIN_COUNT = 2
 SHARD_KEYS = 1 << 20
 PASS_BYTES = 256 << 20
-KEY_BYTES = 15
+KEY_BYTES = 27
+#: From this share of text in common with one earlier document on, the stage takes a document for a copy with changes.
+COPY_SHARE = 0.1
 
 _GAMMA = 2.0
 _SEED = 0xA0761D6478BD642F
@@ -88,25 +93,25 @@ class PerfectHash:
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
+    return mix(keys + np.uint64(0x2545F4914F6CDD1D))  # one to one
 
 
 _SHARD = T.StructType(
     [T.StructField("shard", T.IntegerType())]
-    + [T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "ranks", "prints", "counts", "holders")]
+    + [T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "ranks", "prints", "counts", "holders", "chars")]
 )
 
 
 def build_shard(table: pa.Table) -> pa.Table:
-    """One row with the arrays of a shard, from its (shard, line, count, holder) rows."""
+    """One row with the arrays of a shard, from its (shard, line, count, holder, chars) rows."""
     keys = table["line"].to_numpy().view(np.uint64)
     mph = PerfectHash.build(keys)
     at, n = mph.slots(keys), len(keys)
-    prints, counts, holders = np.zeros(n, np.uint32), np.zeros(n, np.uint16), np.zeros(n, np.int64)
+    prints, counts, holders, chars = np.zeros(n, np.uint64), np.zeros(n, np.uint16), np.zeros(n, np.int64), np.zeros(n, np.int64)
     prints[at] = fingerprints(keys)
     counts[at] = np.minimum(table["count"].to_numpy(), 65535)
-    holders[at] = table["holder"].to_numpy()
-    parts = [mph.sizes, mph.words, mph.ranks, prints, counts, holders]
+    holders[at], chars[at] = table["holder"].to_numpy(), table["chars"].to_numpy()
+    parts = [mph.sizes, mph.words, mph.ranks, prints, counts, holders, chars]
     cols = [pa.array([table["shard"][0].as_py()], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]]
     return pa.Table.from_arrays(cols, names=_SHARD.names)
 
@@ -122,7 +127,7 @@ class Index:
         for row in pq.read_table(at, filesystem=fs, filters=[("turn", "=", turn)] if passes > 1 else None).to_pylist():
             get = lambda c, t, row=row: np.frombuffer(row[c], t)
             mph = PerfectHash(get("sizes", np.int64), get("words", np.uint64), get("ranks", np.uint32))
-            self.by[row["shard"]] = (mph, get("prints", np.uint32), get("counts", np.uint16), get("holders", np.int64))
+            self.by[row["shard"]] = (mph, get("prints", np.uint64), get("counts", np.uint16), get("holders", np.int64), get("chars", np.int64))
 
     @classmethod
     def of(cls, path: str, shards: int, passes: int, turn: int) -> Index:
@@ -132,53 +137,77 @@ class Index:
             cls._held = (key, cls(path, shards, passes, turn))
         return cls._held[1]
 
-    def holders(self, lines: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each line hash is indexed with at least ``min_count``, and its first document."""
-        found, holder = np.zeros(len(lines), bool), np.zeros(len(lines), np.int64)
+    def holders(self, lines: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each line hash is indexed with at least ``min_count``, its first document, and that one's text in long lines."""
+        found, holder, size = np.zeros(len(lines), bool), np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
         shard = np.mod(lines, self.shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s, (mph, prints, counts, holders) in self.by.items():
+        for s, (mph, prints, counts, holders, chars) in self.by.items():
             at = order[cuts[s] : cuts[s + 1]]
             if len(at) and len(prints):
                 keys = lines[at].view(np.uint64)
                 slot = mph.slots(keys)
                 ok = slot >= 0
                 ok[ok] = (prints[slot[ok]] == fingerprints(keys[ok])) & (counts[slot[ok]] >= min(min_count, 65535))
-                found[at[ok]], holder[at[ok]] = True, holders[slot[ok]]
-        return found, holder
+                found[at[ok]], holder[at[ok]], size[at[ok]] = True, holders[slot[ok]], chars[slot[ok]]
+        return found, holder, size
 
 
-def doomed(ids: np.ndarray, offsets: np.ndarray, lines: np.ndarray, valid: np.ndarray, index: Index, min_count: int) -> np.ndarray:
-    """Which lines of a batch go: indexed ones outside their first place in their first document."""
-    out = np.zeros(len(lines), bool)
+def doomed(ids: np.ndarray, offsets: np.ndarray, lines: np.ndarray, valid: np.ndarray, index: Index, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines of a batch go: indexed ones outside their first place in their first document; that document and its text."""
+    out, by, chars = np.zeros(len(lines), bool), np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
     at = np.flatnonzero(valid)
-    found, holder = index.holders(lines[at], min_count)
+    found, holder, size = index.holders(lines[at], min_count)
     at, holder = at[found], holder[found]
     rows = np.searchsorted(offsets, at, "right") - 1
-    out[at] = True
+    out[at], by[at], chars[at] = True, holder, size[found]
     home = ids[rows] == holder
     at, rows = at[home], rows[home]
     _, first = np.unique(np.stack([rows, lines[at]], axis=1), axis=0, return_index=True) if len(at) else (0, [])
     out[at[first]] = False
-    return out
+    return out, by, chars
+
+
+_MARKS = T.StructType([T.StructField("by", T.ArrayType(T.LongType())), T.StructField("chars", T.ArrayType(T.LongType()))])
 
 
 def _probe(path: str, shards: int, passes: int, turn: int, min_count: int):
-    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    @F.arrow_udf(_MARKS)
     def probe(ids: pa.Array, lines: pa.Array) -> pa.Array:
         offsets, flat = list_buffer(lines)
         valid = flat.is_valid().to_numpy(zero_copy_only=False)
         known = np.repeat(ids.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets))
-        gone = doomed(
+        gone, by, chars = doomed(
             ids.fill_null(0).to_numpy(zero_copy_only=False), offsets, flat.fill_null(0).to_numpy(zero_copy_only=False),
             valid & known, Index.of(path, shards, passes, turn), min_count,
         )
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gone))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, mask=~gone)) for x in (by, chars)]
+        return pa.StructArray.from_arrays(lists, names=_MARKS.names)
 
     return probe
 
 
+@F.arrow_udf(T.DoubleType())
+def _copied(ids: pa.Array, by: pa.Array, chars: pa.Array, lengths: pa.Array) -> pa.Array:
+    """Of the text in long lines of a document, or of the earlier one that holds most of it if that has more, the share that both have."""
+    offsets, flat = list_buffer(by)
+    ids, size = ids.fill_null(0).to_numpy(zero_copy_only=False), list_buffer(chars)[1].fill_null(0).to_numpy(zero_copy_only=False)
+    at, length = list_buffer(lengths)[0], list_buffer(lengths)[1].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(length)])
+    own, share = total[at[1:]] - total[at[:-1]], np.zeros(len(ids))
+    line = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
+    row, holder = np.searchsorted(offsets, line, "right") - 1, flat.fill_null(0).to_numpy(zero_copy_only=False)[line]
+    line, row, holder = (x[holder != ids[row]] for x in (line, row, holder))
+    order = np.lexsort((holder, row))
+    line, row, holder = line[order], row[order], holder[order]
+    if len(line):
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1])]))
+        both = np.add.reduceat(length[at[row] + line - offsets[row]], first)
+        np.maximum.at(share, row[first], both / np.maximum(np.maximum(own[row[first]], size[line[first]]), 1))
+    return pa.array(share)
+
+
 def line_hashes(text: Column, min_chars: int) -> Column:
     """The hash of every line, null where the line is too short to be touched."""
 
@@ -189,11 +218,17 @@ def line_hashes(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(text, "\n", -1), one)
 
 
+def line_lengths(text: Column, min_chars: int) -> Column:
+    """The length of every line, 0 where it is too short to be touched."""
+    return F.transform(F.split(text, "\n", -1), lambda line: F.when(F.length(F.trim(line)) >= min_chars, F.length(F.trim(line))).otherwise(0))
+
+
 def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES):
     """Write the shards; returns their path, the number of shards and of passes."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.explode(line_hashes(F.col("text"), min_chars)).alias("line"))
-    counted = lines.where("line is not null").groupBy("line").agg(F.count(F.lit(1)).alias("count"), F.min("d").alias("holder"))
-    repeated = materialize(counted.where(F.col("count") >= min_count), "lines")
+    text = F.aggregate(line_lengths(F.col("text"), min_chars), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    lines = docs.where("doc_id is not null").select(F.named_struct(F.lit("d"), F.col("doc_id").cast("bigint"), F.lit("chars"), text).alias("d"), F.explode(line_hashes(F.col("text"), min_chars)).alias("line"))
+    counted = lines.where("line is not null").groupBy("line").agg(F.count(F.lit(1)).alias("count"), F.min("d").alias("first"))
+    repeated = materialize(counted.where(F.col("count") >= min_count).select("line", "count", F.col("first.d").alias("holder"), F.col("first.chars").alias("chars")), "lines")
     n = repeated.count()
     shards, passes = max(1, math.ceil(n / SHARD_KEYS)), max(1, math.ceil(n * KEY_BYTES / pass_bytes))
     shards = max(shards, passes)
@@ -203,33 +238,35 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MI
 
 
 def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """(r: the row of the documents as a struct, lines, hashes, gone: per line whether it goes)."""
+    """(r: the row of the documents as a struct, hashes of its lines, marks: for each line that goes its first document, ``by``, and that one's ``chars``)."""
     path, shards, passes = build_index(docs, min_chars, min_count, pass_bytes)
     rows = docs.select(F.struct(*docs.columns).alias("r"))
     hashes = line_hashes(F.col("r.text"), min_chars)
     if passes == 1:
-        gone = _probe(path, shards, 1, 0, min_count)(F.col("r.doc_id").cast("bigint"), hashes)
-        return rows.select("r", hashes.alias("hashes"), gone.alias("gone"))
+        marks = _probe(path, shards, 1, 0, min_count)(F.col("r.doc_id").cast("bigint"), hashes)
+        return rows.select("r", hashes.alias("hashes"), marks.alias("marks"))
     # Marks depend on a row's doc_id and text alone, so these are the key that brings them back to the rows.
     digest = lambda text: F.sha2(text.cast("binary"), 256)
-    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("d"), digest(F.col("text")).alias("k"), line_hashes(F.col("text"), min_chars).alias("l"), F.lit(None).cast("array<boolean>").alias("gone"))
+    none = F.lit(None).cast(_MARKS)
+    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("d"), digest(F.col("text")).alias("k"), line_hashes(F.col("text"), min_chars).alias("l"), none.alias("marks"))
     for turn in range(passes):
         more = _probe(path, shards, passes, turn, min_count)(F.col("d"), F.col("l"))
-        both = F.when(F.col("gone").isNull(), F.col("more")).otherwise(F.zip_with("gone", "more", lambda a, b: a | b))
-        narrow = materialize(narrow.withColumn("more", more).select("d", "k", "l", both.alias("gone")), f"pass{turn}")
-    once = narrow.groupBy("d", "k").agg(F.first("gone").alias("gone"))
+        each = [F.zip_with(f"marks.{c}", f"more.{c}", lambda a, b: F.coalesce(a, b)).alias(c) for c in _MARKS.names]
+        both = F.when(F.col("marks").isNull(), F.col("more")).otherwise(F.struct(*each))
+        narrow = materialize(narrow.withColumn("more", more).select("d", "k", "l", both.alias("marks")), f"pass{turn}")
+    once = narrow.groupBy("d", "k").agg(F.first("marks").alias("marks"))
     on = (F.col("r.doc_id").cast("bigint") == F.col("d")) & (digest(F.col("r.text")) == F.col("k"))
-    return rows.join(once, on, "left").select("r", hashes.alias("hashes"), "gone")
+    return rows.join(once, on, "left").select("r", hashes.alias("hashes"), "marks")
 
 
-def _left(text: Column, gone: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.get(gone, i))
-    return F.when(F.coalesce(F.exists(gone, lambda g: g), F.lit(False)), F.array_join(kept, "\n")).otherwise(text)
+def _left(text: Column, by: Column) -> Column:
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: F.get(by, i).isNull())
+    return F.when(F.coalesce(F.exists(by, lambda g: g.isNotNull()), F.lit(False)), F.array_join(kept, "\n")).otherwise(text)
 
 
-def _counts(hashes: Column, gone: Column) -> tuple[Column, Column]:
-    count = lambda xs, f: F.coalesce(F.when(xs.isNotNull(), F.size(F.filter(xs, f))), F.lit(0))
-    return count(hashes, lambda h: h.isNotNull()), count(gone, lambda g: g)
+def _counts(hashes: Column, by: Column) -> tuple[Column, Column]:
+    count = lambda xs: F.coalesce(F.when(xs.isNotNull(), F.size(F.filter(xs, lambda h: h.isNotNull()))), F.lit(0))
+    return count(hashes), count(by)
 
 
 def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -239,9 +276,9 @@ def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int =
     the SQL; shorter lines may be left in the text (``stage`` looks at these, too).
     """
     m = marked(docs, min_chars, min_count, pass_bytes)
-    long, went = _counts(F.col("hashes"), F.col("gone"))
+    long, went = _counts(F.col("hashes"), F.col("marks.by"))
     return m.select(
-        F.col("r.doc_id").alias("doc_id"), _left(F.col("r.text"), F.col("gone")).alias("text"),
+        F.col("r.doc_id").alias("doc_id"), _left(F.col("r.text"), F.col("marks.by")).alias("text"),
         long.alias("n_long_lines"), went.alias("n_removed"), (~((went > 0) & (went == long))).alias("keep"),
     )
 
@@ -260,23 +297,28 @@ def _own(docs: DataFrame, emptied: DataFrame, min_chars: int) -> DataFrame:
     return pairs.join(first, ["line", "d"]).groupBy("d").agg(F.collect_set("line").alias("own"))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The documents without repeated lines.  n_chars follows the text.
 
     A document left without a long line goes if its short lines, too, are all held by
     earlier documents; with a short line of its own it stays, with the text that is left.
+
+    A copy with changes of an earlier document is left whole for the near-duplicate stage: cut
+    down to its changed lines it would be a shred like no other text, and stay.  One is taken
+    for such a copy if one earlier document holds lines of it that are at least ``COPY_SHARE``
+    of the text of either; a passage that many long documents share is less.
     """
-    m = marked(docs)
-    long, went = _counts(F.col("hashes"), F.col("gone"))
+    m = marked(docs, pass_bytes=pass_bytes)
+    long, went = _counts(F.col("hashes"), F.col("marks.by"))
     emptied = (went > 0) & (went == long)
-    text = _left(F.col("r.text"), F.col("gone"))
+    share = _copied(F.col("r.doc_id").cast("bigint"), F.col("marks.by"), F.col("marks.chars"), line_lengths(F.col("r.text"), MIN_CHARS))
+    m = m.select("r", "marks", emptied.alias("emptied"), F.coalesce(share, F.lit(0.0)).alias("share"))
+    text = F.when(~F.col("emptied") & (F.col("share") >= COPY_SHARE), F.col("r.text")).otherwise(_left(F.col("r.text"), F.col("marks.by")))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("r.text").isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType)
     row = F.struct(*[(new.get(c, F.col("r")[c])).alias(c) for c in docs.columns])
-    left = materialize(
-        m.select(row.alias("r"), emptied.alias("emptied"), F.when(emptied, short_lines(F.col("r.text"), MIN_CHARS)).alias("short")), "left"
-    )
+    left = materialize(m.select(row.alias("r"), "emptied", F.when(F.col("emptied"), short_lines(F.col("r.text"), MIN_CHARS)).alias("short")), "left")
     at_risk = left.where("emptied")
     saved = at_risk.join(_own(docs, at_risk, MIN_CHARS), F.col("r.doc_id").cast("bigint") == F.col("d")).where(F.arrays_overlap("short", "own"))
     kept = left.where("not emptied").select("r").unionAll(saved.select("r"))
