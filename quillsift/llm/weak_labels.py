@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, positive, slices, span_hashes, text_buffer, word_hashes
+from .common import materialize, mix, positive, slices, span_hashes, text_buffer, word_hashes
 from .quality_rules import common_words
 
 TRAIN_ROWS = 4000
@@ -62,7 +62,7 @@ def votes(docs: DataFrame, carry: list[Column]) -> DataFrame:
         vote(c("__upper") > 0.5 * c("__letters"), c("__upper") < 0.15 * c("__letters"), c("__letters") >= 40),
         vote(c("__symbols") > 0.03 * c("__n"), c("__symbols") < 0.003 * c("__n"), c("__n") >= 100),
         vote(c("__bars") > 0.1 * c("__nw"), c("__bars") == 0, c("__nw") >= 20),
-        vote(c("__kinds") < 0.25 * c("__nw"), c("__kinds") > 0.4 * c("__nw"), c("__nw").between(30, 3000)),
+        vote(F.ln("__kinds") < 0.7 * F.ln("__nw"), F.ln("__kinds") > 0.8 * F.ln("__nw"), c("__nw") >= 30),  # as new words get rarer with length
         vote(c("__again") > 0.1 * c("__nw"), c("__again") < 0.01 * c("__nw"), c("__nw") >= 30),
         vote(c("__common") < 0.1 * c("__nw"), c("__common") > 0.2 * c("__nw"), c("__nw") >= 30),
         vote(c("__letters") < 0.85 * (c("__n") - c("__blanks")), c("__letters") > 0.92 * (c("__n") - c("__blanks")), c("__n") >= 100),
@@ -206,9 +206,9 @@ def _posterior(every: np.ndarray):
     return posterior
 
 
-def labelled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+def labelled(codes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Posterior of every vote code, the labellers' accuracies, and the number of documents."""
-    found = votes(docs, []).groupBy("code").count().collect()  # at most 3^9 rows
+    found = codes.groupBy("code").count().collect()  # at most 3^9 rows
     codes = np.array([r["code"] for r in found], np.int64)
     counts = np.array([r["count"] for r in found], float)
     post, accuracy, _ = fit_labellers(patterns(codes), counts)
@@ -217,19 +217,26 @@ def labelled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return every, accuracy, int(counts.sum())
 
 
-def classified(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a document: doc_id, posterior, score, keep."""
-    every, _, n = labelled(docs)
-    posterior = _posterior(every)("code")
+def fitted(voted: DataFrame, every: np.ndarray, n: int, train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
+    """The scorer's weights, from the training rows of (doc_id, text, code); None if there are none."""
     bound = ((1 << 63) - 1) * min(train_rows, n) // max(n, 1)
-    sample = docs.where(F.col("doc_id").isNotNull() & (positive(F.xxhash64("doc_id", F.lit("train"))) <= bound))
-    rows = votes(sample, [F.col("doc_id"), _features("text").alias("f")]).select("doc_id", "code", "f.bucket", "f.share").collect()  # about train_rows
-    rows = sorted((r for r in rows if r["bucket"]), key=lambda r: (r["doc_id"], r["code"]))
-    v = votes(docs, [F.col("doc_id"), F.col("text")])
-    if rows:
-        weights = fit_scorer([r["bucket"] for r in rows], [r["share"] for r in rows], every[[r["code"] for r in rows]])
+    sample = voted.where(F.col("doc_id").isNotNull() & (positive(F.xxhash64("doc_id", F.lit("train"))) <= bound))
+    rows = sample.select("doc_id", "code", _features("text").alias("f")).select("doc_id", "code", "f.bucket", "f.share").collect()  # about train_rows
+    rows = sorted((r for r in rows if r["bucket"]), key=lambda r: (r["doc_id"], r["code"], r["bucket"], r["share"]))
+    return fit_scorer([r["bucket"] for r in rows], [r["share"] for r in rows], every[[r["code"] for r in rows]]) if rows else None
+
+
+def classified(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: doc_id, posterior, score, keep.
+
+    The texts are written once beside their votes, so that each pass after that reads the votes.
+    """
+    voted = materialize(votes(docs, [F.col("doc_id"), F.col("text")]), "votes")
+    every, _, n = labelled(voted)
+    posterior, weights = _posterior(every)("code"), fitted(voted, every, n, train_rows)
+    if weights is not None:
         score = _scorer(weights)("text")
     else:
         score = F.when(F.trim("text") != "", posterior).otherwise(F.lit(0.0))
-    s = v.select("doc_id", posterior.alias("posterior"), score.alias("score"))
+    s = voted.select("doc_id", posterior.alias("posterior"), score.alias("score"))
     return s.select("doc_id", "posterior", "score", (F.col("score") >= threshold).alias("keep"))

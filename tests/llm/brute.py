@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from quillsift.llm import mixing, packing, simhash
+from quillsift.llm import line_dedup, mixing, packing, simhash
 from quillsift.llm.common import text_buffer
 
 
@@ -29,6 +29,47 @@ def near_groups(rows: list[tuple[int | None, str | None]], radius: int = simhash
     return {i: root(i) for i, _ in known}
 
 
+def line_stage(rows: list[tuple], min_chars: int = line_dedup.MIN_CHARS, copy_share: float = line_dedup.COPY_SHARE) -> list[tuple]:
+    """The (doc_id, text) that the line dedup stage keeps, with the text left; ids are unique or null."""
+    lines = lambda t: [] if t is None else t.split("\n")
+    key = lambda x: x.strip(" ").lower()
+    long = lambda x: len(x.strip(" ")) >= min_chars
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    first, size, count, short_first = {}, {}, {}, {}
+    for i, t in known:
+        size[i] = sum(len(x.strip(" ")) for x in lines(t) if long(x))
+        for x in lines(t):
+            if long(x):
+                first.setdefault(key(x), i)
+                count[key(x)] = count.get(key(x), 0) + 1
+            elif x.strip(" \t\r\f\v"):
+                short_first.setdefault(key(x), i)
+    out = []
+    for i, t in rows:
+        if i is None or t is None:
+            out.append((i, t))
+            continue
+        kept, held, seen, went, n_long = [], {}, set(), 0, 0
+        for x in lines(t):
+            n_long += long(x)
+            if long(x) and count[key(x)] > 1 and (first[key(x)] != i or key(x) in seen):
+                went += 1
+                if first[key(x)] != i:
+                    held[first[key(x)]] = held.get(first[key(x)], 0) + len(x.strip(" "))
+                continue
+            if long(x):
+                seen.add(key(x))
+            kept.append(x)
+        if went and went == n_long:
+            if any(short_first.get(key(x)) == i for x in lines(t) if not long(x)):
+                out.append((i, "\n".join(kept)))
+        elif any(n >= copy_share * max(size[i], size[h]) for h, n in held.items()):
+            out.append((i, t))
+        else:
+            out.append((i, "\n".join(kept)))
+    return out
+
+
 def best_fit(pieces: list[tuple], capacity: int) -> dict[tuple, tuple[int, int]]:
     """(key) -> (window, offset) by scanning all open windows; pieces are (length, order, key)."""
     used: list[int] = []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm import common, cuckoo, html_extract, line_dedup, mixing, packing, queries, quality_rules, secrets, simhash, toxicity, weak_labels
 
-from . import brute
+from . import brute, plain
 
 
 # -- quality rules
@@ -86,6 +86,33 @@ def test_em_recovers_accuracies():
     assert ((post[inverse.ravel()] > 0.5) == truth).mean() > 0.93
 
 
+def test_votes_posteriors_and_scores_equal_plain_ones(spark, sf_dir):
+    """The query: votes and EM by plain versions; scores, from the weights it fits, one document at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    codes = {i: plain.votes(t) for i, t in texts.items()}
+    voted = weak_labels.votes(docs, [F.col("doc_id"), F.col("text")])
+    assert {r["doc_id"]: r["code"] for r in voted.collect()} == codes
+    post = plain.posteriors(list(codes.values()))
+    every, _, n = weak_labels.labelled(voted)
+    weights = weak_labels.fitted(voted, every, n)
+    import pyarrow as pa
+
+    for r in queries.op3_quality_classifier(spark, sf_dir).collect():
+        i = r["doc_id"]
+        assert abs(r["posterior"] - post[codes[i]]) < 2e-6
+        bucket, _ = weak_labels.token_features(*common.text_buffer(pa.array([texts[i]])))
+        z = sum(weights[b] for b in bucket.tolist()) / max(len(bucket), 1) + weights[-1]
+        assert abs(r["score"] - (1 / (1 + np.exp(-z)) if len(bucket) else 0)) < 2e-6 and r["keep"] == (r["score"] >= weak_labels.THRESHOLD)
+
+
+def test_long_documents_are_voted_on(spark):
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:20] * 300))]
+    got = {r["doc_id"]: r["code"] // 3**5 % 3 for r in weak_labels.votes(spark.createDataFrame(rows, "doc_id bigint, text string"), [F.col("doc_id")]).collect()}
+    assert got == {1: weak_labels.GOOD, 2: weak_labels.BAD}
+
+
 def test_classifier_on_held_out_labels(spark):
     labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
     got = queries.op3_quality_classifier(spark, "/root/testdata/sf0.01").toPandas().merge(labels, on="doc_id")
@@ -287,6 +314,20 @@ def test_matches_equal_a_plain_search():
     assert folded.keys() == entries.keys()
 
 
+def test_toxicity_query_equals_a_plain_version(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = pd.read_parquet(f"{d}/documents.parquet"), pd.read_parquet(f"{d}/labels.parquet").dropna(subset=["toxic"])
+    both = docs.merge(labels, on="doc_id")
+    terms = plain.mined([(t, b == 1) for t, b in zip(both.text, both.toxic)])
+    lexicon = dict(toxicity.CURATED)
+    for t, w in terms.items():
+        lexicon[t] = max(w, lexicon.get(t, 0.0))
+    want = {i: plain.toxic_score(t, lexicon) for i, t in zip(docs.doc_id, docs.text)}
+    got = queries.op6_toxicity(spark, d).collect()
+    assert {r["doc_id"]: (r["score"], r["n_matches"]) for r in got} == want
+    assert all(r["toxic"] == (r["score"] >= toxicity.THRESHOLD) for r in got) and sum(n > 0 for _, n in want.values()) > 50
+
+
 def test_toxic_documents_are_caught(spark):
     """Few labels: English rests on the curated list.  Many labels: the other languages' words are mined."""
     for sf, lang in (("sf0.01", "en"), ("sf0.1", None)):
@@ -341,6 +382,59 @@ def test_coded_text_after_an_equals_sign(lead, codec):
     assert ("aws access key", codec, 1) in [f[:3] for f in secrets.scan(text)]
 
 
+@pytest.mark.parametrize("lead", ["a/", "x-", "name_", "path/to/", "one-two_", "A/b-C_d/"])
+@pytest.mark.parametrize("tail", [" ok", "/end", "-x", "_"])
+@pytest.mark.parametrize("codec", ["base64", "base64>gzip", "base64>zstd"])
+def test_coded_text_in_paths_and_names(lead, tail, codec):
+    coded = LAYERS[codec](f"see? {SECRET} here")
+    text = f"{lead}{coded}{tail}"
+    found = [f for f in secrets.scan(text) if f[:3] == ("aws access key", codec, 1)]
+    assert found and len(lead) <= found[0][3] < found[0][4] <= len(text) - (0 if ">" in codec else len(tail))
+
+
+def test_runs_with_many_separators_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for run in ("AbCd-" * 100000, base64.b64encode(b"some words, and more ").decode().rstrip("=") + "_" + "A-b_" * 100000 + "\x7f", "YWFh/" * 100000):
+        secrets.scan(run)
+    assert time.process_time() - began < 20
+
+
+def test_a_bomb_is_scanned_in_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    for data in (bytes(15 << 20), b"x" * (15 << 20), b"word " * (3 << 20)):
+        coded = base64.b64encode(gzip.compress(data + b" " + SECRET.encode())).decode()
+        assert len(coded) < 100_000
+        began = time.process_time()
+        found = [f[0] for f in secrets.scan(coded)]
+        assert time.process_time() - began < 15 and (found == ["aws access key"] or not any(data))
+    tracemalloc.start()
+    secrets.scan(base64.b64encode(gzip.compress(b"word " * (3 << 20))).decode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_scan_equals_a_plain_scanner(spark):
+    """On the table, and on secrets under up to three random layers among words and paths."""
+    d = "/root/testdata/sf0.01"
+    texts = pd.read_parquet(f"{d}/documents.parquet").set_index("doc_id").text
+    got: dict = {i: set() for i in texts.index}
+    for r in queries.op7_secret_scan(spark, d).collect():
+        got[r["doc_id"]].add((r["rule"], r["digest"]))
+    for i, t in texts.items():
+        assert plain.secrets_in(t) == got[i], i
+    rng = random.Random(12)
+    for _ in range(150):
+        inner = f"{rng.choice(['see ', 'api_key=', 'x/'])}{SECRET if rng.random() < 0.6 else 'q7Zx0PmL2vTk9'} end?"
+        for _ in range(rng.randrange(4)):
+            inner = f"{rng.choice(['say ', 'a/', 'k=', 'x-'])}{LAYERS[rng.choice(list(LAYERS))](inner)}{rng.choice([' ok', '/z', ''])}"
+        assert plain.secrets_in(inner) <= {(f[0], f[6]) for f in secrets.scan(inner)}, inner
+
+
 @pytest.mark.parametrize("codec", ["url", "unicode"])
 def test_escapes_far_apart_in_one_coded_run(codec):
     escape = (lambda s: quote(s, safe="")) if codec == "url" else (lambda s: s.replace("/", "\\u002f"))
@@ -434,6 +528,29 @@ def test_many_open_elements_take_linear_time():
         assert html_extract.extract(tag * 100000) == ""
 
 
+GOLDEN = [
+    (f"<html><body><div><a>Home</a><a>News</a></div>{BODY}<div><a>Next</a></div></body></html>", 8),
+    (f"<table><tr><td><ul>{'<li>Item</li>' * 12}</ul></td><td>{BODY}</td></tr></table>", 8),
+    (f"{BODY[: BODY.index('<p>Sentence number 4')]}{'<div><a>Related</a></div>' * 6}{BODY[BODY.index('<p>Sentence number 4') :]}", 8),
+    (f"<div>{'<span>word</span> ' * 40}</div><p>Short.</p>", 0), (f"<pre>{'x ' * 60}</pre>", 0),
+    ("<ul>" + "<li>Menu entry</li>" * 50 + "</ul>", 0), ("Plain text without any markup that is long enough to be kept as the main text of a page.", 0),
+]
+
+
+@pytest.mark.parametrize("page, n", GOLDEN)
+def test_golden_pages(page, n):
+    text = html_extract.extract(page)
+    assert text.count("Sentence number") == n and not any(w in text for w in ("Home", "News", "Next", "Item", "Menu", "Related"))
+    assert text == plain.main_text(page)
+
+
+def test_pages_equal_a_plain_version(spark):
+    d = "/root/testdata/sf0.01"
+    raw = pd.read_parquet(f"{d}/pages.parquet").set_index("page_id").html
+    got = queries.op9_html_extraction(spark, d).toPandas().set_index("page_id").text
+    assert {i: plain.main_text(p) for i, p in raw.items()} == got.to_dict()
+
+
 def test_pages_of_the_table(spark, sf_dir):
     got = queries.op9_html_extraction(spark, sf_dir).toPandas()
     raw = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id").html
