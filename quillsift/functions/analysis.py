@@ -8,9 +8,12 @@ that array.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +62,18 @@ def all_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def segmenter_name(segmenter: Tokenizer | None) -> str:
+    """What an index remembers of the segmenter that cut it; alike for two of the same kind and dictionary."""
+    if segmenter is None:
+        return "words"
+    return getattr(segmenter, "name", None) or f"{segmenter.__module__}.{segmenter.__qualname__}"
+
+
+def _named(segmenter: Tokenizer, kind: str, *parts) -> Tokenizer:
+    segmenter.name = f"{kind}:{hashlib.sha256(repr(parts).encode()).hexdigest()[:16]}"
+    return segmenter
+
+
 TOKENIZERS: dict[FieldType, Tokenizer] = {
     FieldType.WHOLE: whole, FieldType.LIST: semicolon_list, FieldType.RUNE: runes, FieldType.WORDS: words,
 }
@@ -102,7 +117,74 @@ def dictionary_segmenter(dictionary: Iterable[str], overlapping: bool = False) -
     def segment(texts: pd.Series) -> pd.Series:
         return texts.map(lambda s: [w for t in token.findall(s or "") if t not in marks for w in (cut(t) if t.isalnum() and not t.isascii() else [t])])
 
-    return lambda text: segment(text)
+    return _named(lambda text: segment(text), "dictionary", sorted(entries), overlapping)
+
+
+@dataclass(frozen=True)
+class StateModel:
+    """Log probabilities of a character's place in a word: B(egin), M(iddle), E(nd), S(ingle)."""
+
+    start: Mapping[str, float]
+    step: Mapping[str, Mapping[str, float]]
+    emit: Mapping[str, Mapping[str, float]]
+    unseen: float = -20.0
+
+    def cut(self, run: str) -> list[str]:
+        """The words of the most probable states (Viterbi)."""
+        if not run:
+            return []
+        emit = lambda s, c: self.emit.get(s, {}).get(c, self.unseen)
+        best = {s: (self.start.get(s, -math.inf) + emit(s, run[0]), s) for s in "BMES"}
+        for c in run[1:]:
+            best = {
+                s: max((p + self.step.get(path[-1], {}).get(s, -math.inf) + emit(s, c), path + s) for p, path in best.values()) for s in "BMES"
+            }
+        states = max(best[s] for s in "ES")[1]
+        out, word = [], ""
+        for c, s in zip(run, states):
+            word += c
+            if s in "ES":
+                out.append(word)
+                word = ""
+        return out + ([word] if word else [])
+
+
+def probable_cut(run: str, weights: Mapping[str, float], longest: int, least: float, states: StateModel | None = None) -> list[str]:
+    """The cut of a run into dictionary words with the largest sum of log weights; unknown characters between go to ``states``, or stay together."""
+    n = len(run)
+    best: list[tuple[float, int]] = [(0.0, n)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        ends = [j for j in range(i + 1, min(n, i + longest) + 1) if run[i:j] in weights] or [i + 1]
+        best[i] = max((weights.get(run[i:j], least) + best[j][0], j) for j in ends)
+    out, loose, i = [], "", 0
+    while i <= n:
+        word = run[i : best[i][1]] if i < n else ""
+        if i < n and word not in weights:
+            loose += word
+        else:
+            out += (states.cut(loose) if states else [loose]) if loose else []
+            out += [word] if word else []
+            loose = ""
+        i = best[i][1] if i < n else n + 1
+    return out
+
+
+def probability_segmenter(frequencies: Mapping[str, float], states: StateModel | None = None) -> Tokenizer:
+    """A tokenizer that cuts runs of letters outside ASCII into the most probable sequence of dictionary words.
+
+    ``states`` finds words that the dictionary lacks.  Both are given, none is shipped.
+    """
+    total = sum(frequencies.values()) or 1.0
+    weights = {w: math.log(f / total) for w, f in frequencies.items() if w and f > 0}
+    longest, least = max(map(len, weights), default=1), math.log(0.5 / total)
+    token, marks = re.compile(r"[^\W_]+|[\W_]", re.S), frozenset(MARKS)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def segment(texts: pd.Series) -> pd.Series:
+        cut = lambda t: probable_cut(t, weights, longest, least, states) if t.isalnum() and not t.isascii() else [t]
+        return texts.map(lambda s: [w for t in token.findall(s or "") if t not in marks for w in cut(t)])
+
+    return _named(lambda text: segment(text), "probability", sorted(weights.items()), states)
 
 
 def is_word(keyword: str) -> bool:

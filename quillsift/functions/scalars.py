@@ -26,3 +26,20 @@ def present(value: Column) -> Column:
     """Whether a stored number counts as a value: not the largest long, and not -1."""
     low = F.lit((1 << 63) - 1)
     return value.bitwiseAND(low) != low
+
+
+def bit_test(bits: Column, at: Column) -> Column:
+    """Whether a bit, 0 to 63, of a long is set; null beyond."""
+    return F.when(at.between(0, 63), F.call_function("shiftrightunsigned", bits, at.cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
+def _bit(at: Column) -> Column:
+    return F.when(at.between(0, 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int")))
+
+
+def bit_set(bits: Column, at: Column) -> Column:
+    return bits.bitwiseOR(_bit(at))
+
+
+def bit_clear(bits: Column, at: Column) -> Column:
+    return bits.bitwiseAND(F.bitwise_not(_bit(at)))

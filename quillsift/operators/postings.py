@@ -15,6 +15,7 @@ from ..types import FieldType, TableSchema
 
 CROSS_FIELD = "#all"
 BUCKETS = 64
+CHUNK = 100_000
 COLUMNS = ("bucket", "field", "term", "doc_id", "weight")
 
 
@@ -22,30 +23,61 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _counted(name: str, kind: FieldType) -> list[tuple[str, Column]]:
+    """Steps, as (column, expression), from the terms in ``t_name`` to entries (field, term, weight) in ``e_name``.
+
+    Repeats are counted in the row: sorted, the end of each run of equal terms is kept.
+    """
+    t, s, ends = F.col(f"t_{name}"), F.col(f"s_{name}"), F.col(f"r_{name}")
+    entry = lambda term, weight: F.named_struct(F.lit("field"), F.lit(name), F.lit("term"), term, F.lit("weight"), weight)
+    if kind is not FieldType.WORDS:
+        return [("", F.lit(None)), ("", F.lit(None)), (f"e_{name}", F.transform(t, lambda x: entry(x, F.lit(0))))]
+    last = F.transform(s, lambda x, i: F.when((i + 1 == F.size(s)) | (x != F.get(s, i + 1)), i + 1))
+    n = lambda end, k: end - F.when(k > 0, F.get(ends, k - 1)).otherwise(0)
+    return [
+        (f"s_{name}", F.sort_array(t)),
+        (f"r_{name}", F.filter(last, lambda e: e.isNotNull())),
+        (f"e_{name}", F.transform(ends, lambda e, k: entry(F.get(s, e - 1), scoring.weight(n(e, k), F.size(s))))),
+    ]
+
+
 def build(docs: DataFrame, schema: TableSchema, segmenter: analysis.Tokenizer | None = None, cross_field: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """The postings of all searchable fields of (doc_id, fields...).
 
-    Terms are counted by one aggregation, after a partial one; a document's number of terms
-    comes with each of its rows, so nothing is joined.
+    All terms of a document are in its row, so they are counted there and nothing is
+    shuffled.  Texts are cut once: the marks between the fields of the cross-field text are
+    no terms, so its terms are those of the fields one after the other.  (A segmenter that is
+    given sees the whole cross-field text.)
     """
-    have = set(docs.columns)
-    sets = [(f.name, f.type, F.col(f.name)) for f in schema.searchable if f.name in have]
-    if cross_field and sets:
-        present = TableSchema(tuple(f for f in schema.searchable if f.name in have))
-        sets.append((CROSS_FIELD, FieldType.WORDS, analysis.cross_field_text(present)))
-    if not sets:
+    have = [f for f in schema.searchable if f.name in set(docs.columns)]
+    if not have:
         return docs.sparkSession.createDataFrame([], "bucket int, field string, term string, doc_id bigint, weight int")
-    arrays = [F.struct(F.lit(n).alias("field"), F.lit(k is FieldType.WORDS).alias("counts"), analysis.terms_of(k, c, segmenter).alias("terms")) for n, k, c in sets]
-    by_field = docs.select("doc_id", F.inline(F.array(*arrays)))
-    terms = by_field.select("doc_id", "field", "counts", F.size("terms").alias("total"), F.explode("terms").alias("term"))
-    counted = terms.groupBy("doc_id", "field", "term", "counts", "total").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.when(F.col("counts"), scoring.weight(F.col("n"), F.col("total"))).otherwise(F.lit(0))
-    return counted.select(bucket_of(F.col("term"), buckets).alias("bucket"), "field", "term", "doc_id", weight.alias("weight"))
-
-
-def write(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store postings by bucket, each bucket sorted for lookups."""
-    by = postings.repartition("bucket").sortWithinPartitions("bucket", "field", "term", "doc_id")
+    kinds = {f.name: f.type for f in have} | ({CROSS_FIELD: FieldType.WORDS} if cross_field else {})
+    at = docs.select("doc_id", *[analysis.terms_of(f.type, F.col(f.name), segmenter).alias(f"t_{f.name}") for f in have], *[F.col(f.name).alias(f"c_{f.name}") for f in have])
+    columns = {f.name: F.col(f"c_{f.name}") for f in have}
+    if cross_field and segmenter is None:
+        words = [F.col(f"t_{f.name}") if f.type is FieldType.WORDS else analysis.words(columns[f.name]) for f in have]
+        at = at.withColumn(f"t_{CROSS_FIELD}", F.concat(*words))
+    elif cross_field:
+        at = at.withColumn(f"t_{CROSS_FIELD}", segmenter(analysis.cross_field_text(TableSchema(tuple(have)), columns)))
+    steps = [_counted(n, k) for n, k in kinds.items()]
+    keep = ["doc_id", *[f"t_{n}" for n in kinds]]
+    at = at.select(*keep)
+    for k in range(3):
+        at = at.select(*at.columns, *[e.alias(c) for c, e in (s[k] for s in steps) if c])
+    rows = at.select("doc_id", F.inline(F.concat(*[F.col(f"e_{n}") for n in kinds])))
+    return rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "field", "term", "doc_id", "weight")
+
+
+def write(postings: DataFrame, path: str, mode: str = "errorifexists", buckets: int = BUCKETS) -> None:
+    """Store postings by bucket, sorted for lookups.
+
+    A bucket is spread over as many tasks as the session's number of shuffle partitions
+    allows, by a hash of the document, so that neither a bucket nor a hot term is one task's.
+    """
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // buckets)))
+    by = postings.repartition("bucket", spread).sortWithinPartitions("bucket", "field", "term", "doc_id")
     by.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
@@ -67,9 +99,10 @@ def next_term(postings: DataFrame, field: str, term: str) -> DataFrame:
     return postings.where((F.col("field") == field) & (F.col("term") > term)).agg(F.min("term").alias("term"))
 
 
-def walk(postings: DataFrame) -> DataFrame:
-    """Per field and term its postings in order of doc_id."""
-    return postings.groupBy("field", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
+def walk(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Per field, term and ``part``, a range of ``chunk`` ids, the postings in order of doc_id; so a frequent term has many rows."""
+    part = F.floor(F.col("doc_id") / chunk).cast("bigint").alias("part")
+    return postings.groupBy("field", "term", part).agg(F.sort_array(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
 
 
 def term_counts(postings: DataFrame) -> DataFrame:

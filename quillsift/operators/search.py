@@ -5,8 +5,10 @@ fields together, an empty keyword all documents.  Hits are ranked by term weight
 inverse document frequency, where the document frequency is the number of hits after all
 filters and the corpus is every id ever allocated; ties go to the smaller ``doc_id``.
 
-A search runs two jobs: one counts the hits, which the scores and the page depend on; the
-other takes the page as a bounded top-k.  No job sorts all hits or brings them together.
+A search counts the hits, which the scores and the page depend on, when it is built, and the
+documents, unless their number is given; the page is then a bounded top-k.  With an index the
+page is chosen from ids and weights alone, and only its documents are read in full.  No job
+sorts all hits or brings them together.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from . import filters as flt
 from . import postings as post
 
 PAGE = 100
+#: A page of at most so many documents is read by their ids.
+MOST_IDS = 1000
 
 
 @dataclass(frozen=True)
@@ -125,10 +129,19 @@ def search(docs: DataFrame, schema: TableSchema, request: Mapping[str, Any] | Se
     """
     request = SearchRequest.of(request)
     found = hits(docs, schema, request, segmenter, index)
+    by_index = index is not None and bool(request.keyword) and not everything
     keep = list(columns) if columns is not None else [f.name for f in schema.fields if f.name in docs.columns and f.name != "doc_id"]
     keep = list(dict.fromkeys(["doc_id", *keep]))
     total = found.count()
     allocated = docs.count() if allocated is None else allocated
+    if by_index:
+        offset, size = page_of(request.offset, request.size, total)
+        page = scored(found.select("doc_id", "weight"), max(allocated, 1), total).orderBy(F.desc("score"), "doc_id").offset(offset).limit(size)
+        if size <= MOST_IDS:  # its ids reach the Parquet reader
+            rows = page.collect()
+            page = docs.sparkSession.createDataFrame(rows, page.schema)
+            docs = docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+        return docs.select(*keep).join(page, "doc_id").select(*keep, "weight", "score", "total").orderBy(F.desc("score"), "doc_id")
     ranked = scored(found.select(*keep, "weight"), max(allocated, 1), total)
     if everything:
         return ranked

@@ -32,6 +32,8 @@ def route(engine: Engine, method: str, path: str, body: str | bytes | None = Non
         return _reply(FAILED, str(e))
     except (KeyError, TypeError, AttributeError) as e:
         return _reply(ERROR, f"bad request: {e!r}")
+    except Exception as e:  # a failed job is an answer, too
+        return _reply(FAILED, f"failed: {type(e).__name__}: {str(e)[:500]}", status=500)
 
 
 def _dispatch(engine: Engine, method: str, parts: list[str], value: Any) -> tuple[int, Any]:

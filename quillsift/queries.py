@@ -5,6 +5,7 @@ Every query reads its whole tables.  A limit stands only where a page is what is
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis, scalars
-from .operators import compaction, filters, postings, search
+from .operators import compaction, filters, ordered, postings, search
 from .plans.engine import Engine
+from .plans.routes import route
 from .sources import documents as docs_json
 from .sources.files import work_dir, written
 from .streaming.ingest import changes, ingest
@@ -171,7 +173,7 @@ def search_by_index(spark, sf_dir):
     """The same search answered from stored postings."""
     docs, schema = load(spark, sf_dir, "documents"), schema_of("documents")
     path = f"{work_dir(spark)}/postings-{uuid.uuid4().hex}"
-    postings.write(postings.build(docs.select("doc_id", "text"), TableSchema.of({"text": "words"})), path)
+    postings.write(postings.build(docs, schema), path)
     index = spark.read.parquet(path)
     return search.search(docs, schema, {"fieldName": "text", "value": "de"}, columns=[], index=index, everything=True)
 
@@ -317,12 +319,14 @@ def term_counts(spark, sf_dir):
     return postings.term_counts(_postings(spark, sf_dir))
 
 
-@query(f"SELECT field, term, string_agg(doc_id || ':' || weight, ' ' ORDER BY doc_id) AS postings FROM ({_postings_sql()}) WHERE field <> '#all' GROUP BY field, term")
+@query(f"""
+SELECT field, term, doc_id // {postings.CHUNK} AS part, string_agg(doc_id || ':' || weight, ' ' ORDER BY doc_id) AS postings
+FROM ({_postings_sql()}) GROUP BY field, term, part
+""")
 def term_walk(spark, sf_dir):
-    """Every term of the fields with its postings in order, as text."""
-    walked = postings.walk(_postings(spark, sf_dir).where(F.col("field") != postings.CROSS_FIELD))
+    """Every term with its postings in order, a range of ids at a time, as text."""
     line = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["weight"])), " ")
-    return walked.select("field", "term", line.alias("postings"))
+    return postings.walk(_postings(spark, sf_dir)).select("field", "term", "part", line.alias("postings"))
 
 
 @query(f"""
@@ -334,7 +338,7 @@ FROM a JOIN b ON a.doc_id = b.doc_id
 def postings_intersect(spark, sf_dir):
     """Documents with two terms: an extension of single-term search."""
     docs = load(spark, sf_dir, "documents")
-    p = written(postings.build(docs.select("doc_id", "text"), TableSchema.of({"text": "words"}), cross_field=False), "postings")
+    p = written(postings.build(docs, schema_of("documents"), cross_field=False), "postings")
     a, b = postings.lookup(p, "text", "the"), postings.lookup(p, "text", "of")
     return postings.intersect(a, b, docs.count(), b.count())
 
@@ -456,22 +460,25 @@ def _by_language(spark, sf_dir) -> Engine:
     return engine
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS segment, n AS n_rows, n AS n_live FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+@query("""
+SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS segment, CAST(sum(n) OVER (ORDER BY lang) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY lang) AS BIGINT) AS "end",
+       n AS n_rows, n AS n_live, 'id,text,lang,source,n_chars' AS fields FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+""")
 def table_status(spark, sf_dir):
-    return _by_language(spark, sf_dir).table("db", "docs").status().select("segment", "n_rows", "n_live")
+    return _by_language(spark, sf_dir).table("db", "docs").status()
 
 
 _SEGMENTED = f"SELECT CAST(doc_id AS VARCHAR) AS key, weight, score, total FROM ({search_sql('documents', tokens_sql('text'), 'the', 'true', '')})"
 
 
-@query(f"SELECT * FROM ({_SEGMENTED}) ORDER BY score DESC, key LIMIT 100")
+@query(_SEGMENTED)
 def segments_search(spark, sf_dir):
     """A search over several segments, before compaction, ranked as over one."""
     engine = _by_language(spark, sf_dir)
     t = engine.table("db", "docs")
     meta = t.snapshot()[1]
     found = search.search(t.live(meta), t.schema, {"fieldName": "text", "value": "the"}, meta["next_doc_id"], ["__key"], everything=True)
-    return found.select(F.col("__key").alias("key"), "weight", "score", "total").orderBy(F.desc("score"), "key").limit(100)
+    return found.select(F.col("__key").alias("key"), "weight", "score", "total")
 
 
 @query(_SEGMENTED)
@@ -487,7 +494,7 @@ def compacted_search_by_index(spark, sf_dir):
     return found.select(F.col("__key").alias("key"), "weight", "score", "total")
 
 
-@query()
+@query("SELECT 0 AS group_no, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS segment FROM (SELECT DISTINCT lang FROM documents)")
 def compaction_plan(spark, sf_dir):
     """Groups of small neighbouring segments, one segment a language."""
     engine = _by_language(spark, sf_dir)
@@ -520,3 +527,180 @@ def stream_ingestion(spark, sf_dir):
     ingest(engine, "db", "docs", stream, f"{folder}/checkpoint", f"q{uuid.uuid4().hex}", available_now=True).awaitTermination()
     t = engine.table("db", "docs")
     return t.shown(t.live()).select("key", "lang", "n_chars")
+
+
+@query(_SEGMENTED)
+def index_after_recompaction(spark, sf_dir):
+    """Indexed a segment at a time, merged with its postings, and indexed again: each hit once."""
+    engine, docs = _engine(spark), load(spark, sf_dir, "documents")
+    t = engine.table("db", "docs")
+    for lang in [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]:
+        engine.apply("db", "docs", _inserts(docs.where(F.col("lang") == lang)))
+        t.build_index()
+    t.compact(1 << 60)
+    t.build_index()
+    meta = t.snapshot()[1]
+    found = search.search(t.live(meta), t.schema, {"fieldName": "text", "value": "the"}, meta["next_doc_id"], ["__key"], index=t.index(meta), everything=True)
+    return found.select(F.col("__key").alias("key"), "weight", "score", "total")
+
+
+def _deletes(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("seq"), F.lit("delete").alias("op"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("string").alias("body"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS key, lang, n_chars FROM documents WHERE doc_id NOT IN {_TOXIC}")
+def vacuum_keeps_live(spark, sf_dir):
+    """Segments merged, dead rows purged, all older versions deleted: the live documents stay."""
+    engine = _by_language(spark, sf_dir)
+    engine.apply("db", "docs", _deletes(_labelled(spark, sf_dir, "toxic = 1")))
+    t = engine.table("db", "docs")
+    t.compact(1 << 60)
+    t.vacuum(0)
+    return t.shown(t.live()).select("key", "lang", "n_chars")
+
+
+@query(f"SELECT max(r) AS last_dead FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE doc_id IN {_TOXIC}")
+def last_dead_id(spark, sf_dir):
+    """The largest id among the tombstones."""
+    engine = _engine(spark)
+    engine.apply("db", "docs", _inserts(load(spark, sf_dir, "documents")))
+    engine.apply("db", "docs", _deletes(_labelled(spark, sf_dir, "toxic = 1")))
+    return spark.createDataFrame([(engine.table("db", "docs").last_dead(),)], "last_dead bigint")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, lang, source, n_chars, text FROM documents WHERE doc_id IN (7, 77)")
+def get_by_pk(spark, sf_dir):
+    """Documents by key; one that is absent gives no row."""
+    engine = _engine(spark)
+    engine.apply("db", "docs", _inserts(load(spark, sf_dir, "documents")))
+    t = engine.table("db", "docs")
+    return postings.merge([t.get(k) for k in ("7", "77", "nobody")]).select("key", "lang", "source", "n_chars", "text")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, r AS doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r = 77")
+def get_by_id(spark, sf_dir):
+    """A document by the id that the table gave it; only its segment is read."""
+    engine = _engine(spark)
+    engine.apply("db", "docs", _inserts(load(spark, sf_dir, "documents")))
+    return engine.table("db", "docs").get_by_id(77).select("key", "doc_id", "lang")
+
+
+@query(f"""
+SELECT status, error, count(*) AS n FROM (
+  SELECT 'ok' AS status, NULL AS error FROM documents
+  UNION ALL SELECT 'failed', 'the key exists' FROM documents WHERE doc_id IN {_GOOD}
+  UNION ALL SELECT 'failed', 'the document is invalid' FROM documents WHERE doc_id IN {_TOXIC}
+) GROUP BY status, error
+""")
+def stream_outcomes(spark, sf_dir):
+    """What became of each change of a stream: good documents are inserted twice, toxic ones once more under new keys without their fields."""
+    engine, name = _engine(spark), f"q{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    bad = _inserts(_labelled(spark, sf_dir, "toxic = 1")).withColumn("key", F.concat(F.lit("x"), "key")).withColumn("body", F.lit("{}"))
+    for k, part in enumerate((_inserts(load(spark, sf_dir, "documents")), _after(_inserts(_labelled(spark, sf_dir, "quality = 1")), _STEP), _after(bad, 2 * _STEP))):
+        part.coalesce(1).write.json(f"{folder}/in/{k}")
+    stream = changes(spark, f"{folder}/in/*", max_files=1)
+    ingest(engine, "db", "docs", stream, f"{folder}/checkpoint", name, available_now=True).awaitTermination()
+    return engine.table("db", "docs").outcomes(name).groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('a', 't', 'id:primary,text:words'), ('a', 'u', 'n:number')) AS v(db, name, fields)")
+def ddl_catalogue(spark, sf_dir):
+    """Databases and tables made and dropped; what is left, with its fields."""
+    engine = Engine(spark, f"{work_dir(spark)}/engine-{uuid.uuid4().hex}")
+    for db in ("a", "b"):
+        engine.create_database(db)
+        for name, fields in (("t", {"id": "primary", "text": "words"}), ("u", {"n": "number"}), ("v", {"n": "time"})):
+            engine.create_table(db, name, fields)
+    engine.drop_table("a", "v")
+    engine.drop_database("b")
+    left = [(d["database"], t["table"], ",".join(f"{f['name']}:{f['type']}" for f in t["fields"])) for d in engine.status() for t in d["tables"]]
+    return spark.createDataFrame(left, "db string, name string, fields string")
+
+
+@query("""
+SELECT * FROM (VALUES (0, 'no field'), (1, '> needs a number'), (2, 'prefix needs a string'), (3, 'in needs a list'), (4, 'not in needs a list'), (5, ''), (6, ''), (7, '')) AS v(n, refusal)
+""")
+def filter_refusals(spark, sf_dir):
+    """Filters that can't apply to their field are refused before anything runs; an empty list and an unknown type are not."""
+    bad = [
+        {"field": "nope", "type": "="}, {"field": "p_brand", "type": ">", "int": 1}, {"field": "p_size", "type": "prefix", "str": "1"}, {"field": "p_size", "type": "in"},
+        {"field": "p_brand", "type": "not in"}, {"field": "p_size", "type": "in", "iranges": []}, {"field": "p_brand", "type": "like"}, {"field": "p_brand", "type": "=", "str": "x"},
+    ]
+    out = []
+    for n, f in enumerate(bad):
+        try:
+            filters.validate(schema_of("part"), [f])
+            out.append((n, ""))
+        except ValueError as e:
+            said = str(e)
+            out.append((n, next(s for s in ("no field", "> needs a number", "prefix needs a string", "not in needs a list", "in needs a list") if said.startswith(s))))
+    return spark.createDataFrame(out, "n int, refusal string")
+
+
+@query(flat_sql("part", "false", ""))
+def filter_absent_field(spark, sf_dir):
+    """A field that the data lacks matches nothing, not even an empty exclusion."""
+    request = {"filters": [{"field": "p_size", "type": "not in", "iranges": []}]}
+    return search.search(load(spark, sf_dir, "part").drop("p_size"), schema_of("part"), request, columns=[], everything=True)
+
+
+@query("""
+SELECT * FROM (VALUES
+  (0, 'POST /d', 200, 0), (1, 'POST /d', 200, 1), (2, 'POST /d/t', 200, 0), (3, 'POST /d/t/1', 200, 0), (4, 'POST /d/t/1', 200, 1), (5, 'PUT /d/t/1', 200, 0), (6, 'PUT /d/t/2', 200, 1),
+  (7, 'GET /d/t/1', 200, 0), (8, 'PATCH /d/t', 200, 0), (9, 'PATCH /d/t', 200, 0), (10, 'PATCH /d/t', 200, 2), (11, 'GET /_search', 200, 0), (12, 'GET /_status', 200, -1),
+  (13, 'DELETE /d/t/1', 200, 0), (14, 'DELETE /d/t/1', 200, 0), (15, 'DELETE /d/t', 200, 0), (16, 'DELETE /d', 200, 0), (17, 'DELETE /d', 200, 1), (18, 'GET /a/b/c/d', 404, 2), (19, 'HEAD /d', 501, 2)
+) AS v(step, request, status, code)
+""")
+def routes_session(spark, sf_dir):
+    """A session of requests by method and path: the status and code of each reply (-1 where there is no envelope)."""
+    engine = Engine(spark, f"{work_dir(spark)}/engine-{uuid.uuid4().hex}")
+    doc, fields = {"about": "hello world"}, [{"name": "id", "type": "primary"}, {"name": "about", "type": "words"}]
+    change = lambda kind, **f: {"type": kind, "field": f}
+    session = [
+        ("POST", "/d", None), ("POST", "/d", None), ("POST", "/d/t", fields), ("POST", "/d/t/1", doc), ("POST", "/d/t/1", doc), ("PUT", "/d/t/1", doc), ("PUT", "/d/t/2", doc), ("GET", "/d/t/1", None),
+        ("PATCH", "/d/t", change("addField", name="x", type="whole")), ("PATCH", "/d/t", change("delField", name="x")), ("PATCH", "/d/t", change("else", name="x")),
+        ("GET", "/_search", {"database": "d", "table": "t", "fieldName": "about", "value": "hello"}), ("GET", "/_status", None), ("DELETE", "/d/t/1", None), ("DELETE", "/d/t/1", None),
+        ("DELETE", "/d/t", None), ("DELETE", "/d", None), ("DELETE", "/d", None), ("GET", "/a/b/c/d", None), ("HEAD", "/d", None),
+    ]
+    out = []
+    for step, (method, path, body) in enumerate(session):
+        status, reply = route(engine, method, path, None if body is None else json.dumps(body))
+        out.append((step, f"{method} {path}", status, reply["code"] if isinstance(reply, dict) else -1))
+    return spark.createDataFrame(out, "step int, request string, status int, code int")
+
+
+# -- ordered maps and bits
+
+
+@query("SELECT event_type AS tree, CAST(user_id AS VARCHAR) AS key, CAST(count(*) AS BIGINT) * 2 AS value FROM events GROUP BY event_type, user_id")
+def counters(spark, sf_dir):
+    """Counters by name and key, raised twice by all events."""
+    steps = load(spark, sf_dir, "events").select(F.col("event_type").alias("tree"), F.col("user_id").cast("string").alias("key"), F.lit(1).cast("bigint").alias("value"))
+    return ordered.increment(ordered.increment(steps.where("false"), steps), steps)
+
+
+_MAP = "(SELECT event_type AS tree, CAST(user_id AS VARCHAR) AS key, max(event_id) AS value FROM events GROUP BY event_type, user_id)"
+
+
+@query(f"""
+WITH m AS {_MAP} SELECT 'first' AS what, min(key) AS key, arg_min(value, key) AS value FROM m WHERE tree = 'click'
+UNION ALL SELECT 'after', min(key), arg_min(value, key) FROM m WHERE tree = 'click' AND key > '5'
+UNION ALL SELECT 'get', key, value FROM m WHERE tree = 'click' AND key = (SELECT max(key) FROM m WHERE tree = 'click')
+""")
+def ordered_map(spark, sf_dir):
+    """The last event of each user by type, as ordered maps: the first key, the next one, a lookup."""
+    e = load(spark, sf_dir, "events").select(F.col("event_type").alias("tree"), F.col("user_id").cast("string").alias("key"), F.col("doc_id").alias("value"), F.col("doc_id").alias("seq"))
+    rows = written(ordered.put(e.where("seq < 0").drop("seq"), e), "map")
+    last = rows.where("tree = 'click'").agg(F.max("key")).first()[0]
+    parts = {"first": ordered.first(rows, "click"), "after": ordered.after(rows, "click", "5"), "get": ordered.get(rows, "click", last)}
+    return postings.merge([p.select(F.lit(what).alias("what"), "key", "value") for what, p in parts.items()])
+
+
+@query("""
+SELECT o_orderkey AS doc_id, ((o_orderkey >> 3) & 1) = 1 AS bit_3, o_orderkey | 32 AS with_5, o_orderkey & ~(32::BIGINT) AS without_5 FROM orders
+""")
+def bit_functions(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("doc_id")
+    at = F.lit(5)
+    return o.select("doc_id", scalars.bit_test(F.col("doc_id"), F.lit(3)).alias("bit_3"), scalars.bit_set(F.col("doc_id"), at).alias("with_5"), scalars.bit_clear(F.col("doc_id"), at).alias("without_5"))

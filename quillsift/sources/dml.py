@@ -5,7 +5,8 @@ is not live is refused likewise; an insert or update whose document is invalid t
 but changes nothing else; an update replaces the whole document under a new id; a delete of
 an absent key succeeds.  Whether a key is live before a change depends on the changes before
 it, so it is a running value over the key's changes: the last valid insert makes it live,
-the last delete ends that, and nothing else matters.
+the last delete ends that, and nothing else matters.  Changes with one ``seq`` are taken in
+order of operation and content; changes alike in these, too, are the same change twice.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..types import HIDDEN_KEY, TableSchema
 from . import documents
-from .files import written
-from .store import Table
+from .files import drop_written, written
+from .store import Table, write_segment
 
 AUTO = "_auto"
 _RESULT = ("seq", "op", "key", "doc_id", "status", "error")
@@ -42,25 +43,40 @@ def _prepared(ops: DataFrame, table: Table, meta: dict[str, Any]) -> DataFrame:
         .when(~auto & (F.col("op") != "insert") & given.isNull(), "no key")
         .when(writes & F.lit(not schema.values), "the table has no fields")
     )
-    base = ops.select("seq", "op", "body", key.alias("__key"), error.alias("__error"))
-    return documents.from_json(base, schema, carry=("seq", "op", "__key", "__error"))
+    base = ops.select("seq", "op", "body", key.alias("__key"), error.alias("__error"), F.xxhash64("body").alias("__tie"))
+    return documents.from_json(base, schema, carry=("seq", "op", "__key", "__error", "__tie"))
 
 
-def _with_ids(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
-    """Adds doc_id: ``first`` and up in order of ``seq``; returns the number of ids taken.
+def _with_ids(rows: DataFrame, first: int) -> tuple[DataFrame, int, DataFrame]:
+    """Adds doc_id: ``first`` and up in order of ``seq``; returns the number of ids taken, and a table to drop in the end.
 
     Rows are cut into ranges of ``seq`` and ranked within them; only the sizes of the ranges
     come to the driver, so no window sees all rows.
     """
     ranged = written(rows.repartitionByRange("seq").withColumn("__p", F.spark_partition_id()), "ranged")
-    sizes = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect())
+    sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # a row a task
     offsets, total = [], 0
-    for p, n in sizes:
-        offsets.append((p, first + total))
-        total += n
-    at = written(rows.sparkSession.createDataFrame(offsets, "__p int, __first bigint"), "offsets")  # its size is known, so it is broadcast
-    rank = F.row_number().over(W.partitionBy("__p").orderBy("seq"))
-    return ranged.join(at, "__p").withColumn("doc_id", F.col("__first") + rank - 1).drop("__p", "__first"), total
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(first + total)
+        total += sizes.get(p, 0)
+    if not offsets:
+        return ranged.withColumn("doc_id", F.lit(None).cast("bigint")).drop("__p"), 0, ranged
+    rank = F.row_number().over(W.partitionBy("__p").orderBy("seq", HIDDEN_KEY, "__nth"))
+    at = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]) if len(offsets) < 100 else F.from_json(F.lit(str(offsets)), F.lit("array<bigint>")), F.col("__p"))
+    return ranged.withColumn("doc_id", at + rank - 1).drop("__p"), total, ranged
+
+
+#: Up to so many changed keys are looked up by value, which the Parquet reader prunes by; more are joined.
+FEW_KEYS = 1000
+
+
+def _held(table: Table, meta: dict[str, Any], legal: DataFrame) -> DataFrame:
+    """(key, __old) of the live documents among the keys of some changes."""
+    keys = table.live(meta).select(HIDDEN_KEY, F.col("doc_id").alias("__old"))
+    few = [r[0] for r in legal.select(HIDDEN_KEY).distinct().limit(FEW_KEYS + 1).collect()]
+    if len(few) <= FEW_KEYS:
+        return keys.where(F.col(HIDDEN_KEY).isin(few))
+    return keys.join(legal.select(HIDDEN_KEY).distinct(), HIDDEN_KEY, "left_semi")
 
 
 def apply_batch(table: Table, ops: DataFrame, stream: tuple[str, int] | None = None) -> DataFrame:
@@ -76,51 +92,60 @@ def apply_batch(table: Table, ops: DataFrame, stream: tuple[str, int] | None = N
     fields = [f["name"] for f in meta["fields"] if f["type"] != "primary"]
     rows = written(_prepared(ops.select(F.col("seq").cast("bigint").alias("seq"), "op", "key", "body"), table, meta), "changes")
     legal = rows.where(F.col("__error").isNull())
-    keys = table.live(meta).select(HIDDEN_KEY, F.col("doc_id").alias("__old")) if meta["segments"] else None
-    if keys is None:
-        legal = legal.withColumn("__old", F.lit(None).cast("bigint"))
+    if meta["segments"]:
+        legal = legal.join(_held(table, meta, legal), HIDDEN_KEY, "left")
     else:
-        wanted = legal.select(HIDDEN_KEY).distinct()
-        legal = legal.join(keys.join(wanted, HIDDEN_KEY, "left_semi"), HIDDEN_KEY, "left")
+        legal = legal.withColumn("__old", F.lit(None).cast("bigint"))
 
-    before = W.partitionBy(HIDDEN_KEY).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(HIDDEN_KEY).orderBy("seq", "op", "__tie")
+    before = whole.rowsBetween(W.unboundedPreceding, -1)
     is_insert, is_delete, ok = F.col("op") == "insert", F.col("op") == "delete", F.col("__valid")
     turn = F.when(is_insert & ok, True).when(is_delete, False)
     live = F.coalesce(F.last(turn, ignorenulls=True).over(before), F.col("__old").isNotNull())
-    judged = legal.withColumn("__live", live).withColumn(
+    judged = legal.withColumn("__live", live).withColumn("__nth", F.row_number().over(whole)).withColumn(
         "__error",
         F.when(is_insert & F.col("__live"), "the key exists").when((F.col("op") == "update") & ~F.col("__live"), "no such document"),
     )
     judged = written(judged, "judged")
     taking = judged.where(~is_delete & F.col("__error").isNull())
-    numbered, taken = _with_ids(taking, meta["next_doc_id"])
-    numbered = written(numbered, "numbered")
+    numbered, taken, ranged = _with_ids(taking, meta["next_doc_id"])
 
     # Which id each successful update or delete ends: the last one its key got before, or the table's.
-    done = numbered.select("seq", "op", HIDDEN_KEY, "__valid", "__live", "__old", "doc_id").unionByName(
-        judged.where(is_delete).select("seq", "op", HIDDEN_KEY, "__valid", "__live", "__old", F.lit(None).cast("bigint").alias("doc_id"))
+    done = numbered.select("op", HIDDEN_KEY, "__nth", "__valid", "__live", "__old", "doc_id").unionByName(
+        judged.where(is_delete).select("op", HIDDEN_KEY, "__nth", "__valid", "__live", "__old", F.lit(None).cast("bigint").alias("doc_id"))
     )
+    before = W.partitionBy(HIDDEN_KEY).orderBy("__nth").rowsBetween(W.unboundedPreceding, -1)
     held = F.coalesce(F.last(F.when(F.col("__valid") & ~is_delete, F.col("doc_id")), ignorenulls=True).over(before), F.col("__old"))
     ended = done.withColumn("__ends", held).where(F.col("__live") & (is_delete | ((F.col("op") == "update") & ok)))
 
     new = dict(meta) | {"next_doc_id": meta["next_doc_id"] + taken}
     if taken:
         path = table.folder("segments")
-        numbered.select("doc_id", HIDDEN_KEY, "__valid", *fields).sortWithinPartitions("doc_id").write.parquet(path)
+        write_segment(numbered.select("doc_id", HIDDEN_KEY, "__valid", *fields), path, taken)
         new["segments"] = [*meta["segments"], {"path": path, "start": meta["next_doc_id"], "end": new["next_doc_id"], "fields": meta["fields"]}]
     path = table.folder("tombstones")
     ended.select(F.col("__ends").alias("doc_id")).write.parquet(path)
-    if not table.spark.read.schema("doc_id bigint").parquet(path).isEmpty():
+    if table.spark.read.schema("doc_id bigint").parquet(path).isEmpty():
+        table.files.delete(path)
+    else:
         new["tombstones"] = [*meta["tombstones"], path]
-    if stream:
-        new["streams"] = meta.get("streams", {}) | {stream[0]: stream[1]}
-    table.commit(version, new)
 
     invalid = F.when(~ok, "the document is invalid")
+    none = F.lit(None).cast("bigint").alias("doc_id")
     outcome = (
         numbered.select("seq", "op", HIDDEN_KEY, "doc_id", invalid.alias("error"))
-        .unionByName(judged.where(is_delete | F.col("__error").isNotNull()).select("seq", "op", HIDDEN_KEY, F.lit(None).cast("bigint").alias("doc_id"), F.col("__error").alias("error")))
-        .unionByName(rows.where(F.col("__error").isNotNull()).select("seq", "op", HIDDEN_KEY, F.lit(None).cast("bigint").alias("doc_id"), F.col("__error").alias("error")))
+        .unionByName(judged.where(is_delete | F.col("__error").isNotNull()).select("seq", "op", HIDDEN_KEY, none, F.col("__error").alias("error")))
+        .unionByName(rows.where(F.col("__error").isNotNull()).select("seq", "op", HIDDEN_KEY, none, F.col("__error").alias("error")))
     )
     status = F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")
-    return outcome.select("seq", "op", F.col(HIDDEN_KEY).alias("key"), "doc_id", status, "error")
+    outcome = outcome.select("seq", "op", F.col(HIDDEN_KEY).alias("key"), "doc_id", status, "error")
+    if stream:  # beside the table, before the batch is published; if it is run again, written again
+        new["streams"] = meta.get("streams", {}) | {stream[0]: stream[1]}
+        path = f"{table.path}/outcomes/{stream[0]}/batch={stream[1]}"
+        outcome.write.mode("overwrite").parquet(path)
+        outcome = table.spark.read.schema(outcome.schema).parquet(path)
+    else:
+        outcome = written(outcome, "outcome")
+    table.commit(version, new)
+    drop_written(rows, judged, ranged)
+    return outcome

@@ -6,6 +6,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
 import uuid
 from typing import Any
 
@@ -51,8 +52,17 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isFile())
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def write_new_json(self, path: str, value: Any) -> None:
-        """Write a file that must not exist: whole under another name, then renamed, so it appears at once."""
+        """Write a file that must not exist: whole under another name, then renamed, so it appears at once.
+
+        Of two writers one gets FileExistsError, on file systems whose rename is atomic and
+        fails where the target exists (HDFS, local disks, hierarchical stores).  A plain
+        object store doesn't promise that: there one process must do all writes of a table.
+        """
         part = f"{path}.{uuid.uuid4().hex}.part"
         stream = self._fs.create(self._path(part), True)
         try:
@@ -65,8 +75,10 @@ class Files:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         try:
             context.rename(self._path(part), self._path(path), options)
-        except Exception:
+        except Exception as e:
             self.delete(part)
+            if self.exists(path):
+                raise FileExistsError(f"{path} exists") from e
             raise
 
 
@@ -87,4 +99,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Delete what ``written`` holds of these, once nothing reads it any more."""
+    for df in frames:
+        Files(df.sparkSession, df._written).delete(df._written)

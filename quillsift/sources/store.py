@@ -8,23 +8,46 @@ whole version, a failed job leaves only unreferenced files, and of two writers o
 A segment is a range of document ids with the schema it was written under.  Rows are never
 changed: a new version of a document is a new row, and superseded or deleted ids are listed
 in tombstone folders.  Ids of rejected documents stay taken and carry ``__valid`` false.
+
+Compaction merges segments and their postings, purges superseded rows and forgets the
+tombstones of what it merged; ``vacuum`` then deletes files that no recent version names.
+Segments have a Bloom filter of their keys, so a lookup by key skips row groups without it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Tokenizer
+from ..functions.analysis import Tokenizer, segmenter_name
 from ..operators import compaction, postings
 from ..types import HIDDEN_KEY, SENTINEL, FieldSpec, TableSchema
 from .files import Files
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has published this version of a table."""
+
+
+def within(ranges: Iterable[tuple[int, int]]) -> Column:
+    """Whether ``doc_id`` lies in one of some half-open ranges."""
+    each = [(F.col("doc_id") >= a) & (F.col("doc_id") < b) for a, b in compaction.intervals(list(ranges))]
+    return reduce(lambda x, y: x | y, each, F.lit(False))
+
+
+def write_segment(rows: DataFrame, path: str, n: int) -> None:
+    """Few large files in id order, so that reads by id skip row groups by their bounds, and by key by Bloom filters."""
+    writer = rows.sortWithinPartitions("doc_id").write
+    for option, value in (("enabled", "true"), ("expected.ndv", max(1, min(n, 1_000_000)))):
+        writer = writer.option(f"parquet.bloom.filter.{option}#{HIDDEN_KEY}", str(value))
+    writer.parquet(path)
+
+
 def _checked(name: str) -> str:
     if not name or name.startswith((".", "_")) or "/" in name:
         raise ValueError(f"bad name {name!r}")
@@ -90,9 +113,12 @@ class Table:
         return int(names[-1][:-5]) + 1, self.files.read_json(f"{self.path}/_meta/{names[-1]}")
 
     def commit(self, version: int, meta: Mapping[str, Any]) -> None:
-        """Publish a version; fails if another writer has published it."""
+        """Publish a version; raises VersionTaken if another writer has published it."""
         self.files.mkdirs(f"{self.path}/_meta")
-        self.files.write_new_json(f"{self.path}/_meta/{version:010d}.json", dict(meta))
+        try:
+            self.files.write_new_json(f"{self.path}/_meta/{version:010d}.json", dict(meta))
+        except FileExistsError as e:
+            raise VersionTaken(f"version {version} of table {self.name!r} exists") from e
 
     def folder(self, kind: str) -> str:
         return f"{self.path}/{kind}/{uuid.uuid4().hex}"
@@ -146,7 +172,7 @@ class Table:
         return rows.select("doc_id", F.col(HIDDEN_KEY).alias("key"), *fields, *extra)
 
     def get(self, key: str) -> DataFrame:
-        """The live document of a key: one row or none."""
+        """The live document of a key: one row or none.  The key reaches the Parquet reader, which skips row groups by it."""
         return self.shown(self.live().where(F.col(HIDDEN_KEY) == key))
 
     def get_by_id(self, doc_id: int) -> DataFrame:
@@ -170,65 +196,149 @@ class Table:
 
     # -- segments
 
-    def compact(self, least: int = 100_000) -> list[list[int]]:
+    def compact(self, least: int = 100_000, groups: Sequence[Sequence[int]] | None = None, purge_share: float = 0.3) -> list[list[int]]:
         """Merge neighbouring small segments; returns the groups.  Superseded rows are purged, ids stay.
 
+        ``groups`` are positions of neighbours, by default those of the compaction plan; a
+        segment on its own is rewritten if at least ``purge_share`` of its ids are dead.
         Fields a segment lacked are filled with their empty value, so they count as empty,
         not absent, from then on.  Readers of the version before keep its files.
         """
         version, meta = self.snapshot()
         schema, dead, segs = TableSchema.of(meta["fields"]), self.tombstones(meta), meta["segments"]
-        groups = compaction.plan([s["end"] - s["start"] for s in segs], least)
+        sizes = [s["end"] - s["start"] for s in segs]
+        groups = [list(g) for g in (compaction.plan(sizes, least) if groups is None else groups)]
+        if dead is not None:
+            of = F.size(F.filter(F.lit([s["start"] for s in segs]), lambda x: x <= F.col("doc_id"))) - 1
+            n_dead = {r["s"]: r["n"] for r in dead.distinct().groupBy(of.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a segment
+            merged = {i for g in groups for i in g}
+            groups += [[i] for i, n in sorted(n_dead.items()) if i not in merged and n >= purge_share * sizes[i]]
         if not groups:
             return []
         at = {g[0]: g for g in groups}
         merged = {i for g in groups for i in g}
-        out = []
+        out, ranges = [], []
         for i, seg in enumerate(segs):
             if i in at:
                 rows = postings.merge([self._segment(segs[k], schema) for k in at[i]])
                 if dead is not None:
                     rows = rows.join(dead, "doc_id", "left_anti")
                 fill = [F.coalesce(f.name, F.lit("" if f.type.is_string else SENTINEL)).alias(f.name) for f in schema.values]
-                path = self.folder("segments")
-                # Few large files in id order: point reads skip row groups by their bounds.
-                rows.where("__valid").select("doc_id", HIDDEN_KEY, "__valid", *fill).sortWithinPartitions("doc_id").write.parquet(path)
-                out.append({"path": path, "start": segs[at[i][0]]["start"], "end": segs[at[i][-1]]["end"], "fields": schema.to_json()})
+                path, start, end = self.folder("segments"), segs[at[i][0]]["start"], segs[at[i][-1]]["end"]
+                write_segment(rows.where("__valid").select("doc_id", HIDDEN_KEY, "__valid", *fill), path, end - start)
+                out.append({"path": path, "start": start, "end": end, "fields": schema.to_json()})
+                ranges.append((start, end))
             elif i not in merged:
                 out.append(seg)
-        self.commit(version, meta | {"segments": out})
-        return groups
+        new = {"segments": out, "tombstones": self._tombstones_outside(dead, ranges), "indexes": self._merged_indexes(meta, dead, ranges)}
+        self.commit(version, meta | new)
+        return sorted(groups)
+
+    def _tombstones_outside(self, dead: DataFrame | None, ranges: list[tuple[int, int]]) -> list[str]:
+        """The tombstones of ids outside of some ranges, written as one folder, or none."""
+        if dead is None:
+            return []
+        path = self.folder("tombstones")
+        dead.where(~within(ranges)).distinct().write.parquet(path)
+        if self.spark.read.schema("doc_id bigint").parquet(path).isEmpty():
+            self.files.delete(path)
+            return []
+        return [path]
+
+    # -- postings
+
+    def _indexes(self, meta: Mapping[str, Any], segmenter: Tokenizer | None) -> list[dict[str, Any]]:
+        """The parts of the index that hold under the current fields and were cut by this segmenter."""
+        name = segmenter_name(segmenter)
+        return [i for i in meta["indexes"] if i["fields"] == meta["fields"] and i.get("segmenter", segmenter_name(None)) == name]
+
+    def _postings(self, entries: Iterable[Mapping[str, Any]]) -> DataFrame:
+        """The postings of some parts of the index; of each folder only the ids that its parts name."""
+        of: dict[str, list[tuple[int, int]]] = {}
+        for i in entries:
+            of.setdefault(i["path"], []).append((i["start"], i["end"]))
+        read = self.spark.read.schema("field string, term string, doc_id bigint, weight int, bucket int")
+        return postings.merge([read.parquet(p).where(within(ranges)) for p, ranges in of.items()])
+
+    def _merged_indexes(self, meta: Mapping[str, Any], dead: DataFrame | None, ranges: list[tuple[int, int]]) -> list[dict[str, Any]]:
+        """The parts of the index with those of each range that they cover merged into one, without dead documents."""
+        current = [i for i in meta["indexes"] if i["fields"] == meta["fields"]]
+        out = []
+        for name in dict.fromkeys(i.get("segmenter", segmenter_name(None)) for i in current):
+            own = [i for i in current if i.get("segmenter", segmenter_name(None)) == name]
+            spans = compaction.intervals([(i["start"], i["end"]) for i in own])
+            new = []
+            for a, b in ranges:
+                if any(x <= a and b <= y for x, y in spans):
+                    rows = self._postings(own).where(within([(a, b)]))
+                    rows = rows if dead is None else rows.join(dead, "doc_id", "left_anti")
+                    path = self.folder("postings")
+                    postings.write(rows.select(*postings.COLUMNS), path)
+                    new.append({"path": path, "start": a, "end": b, "fields": meta["fields"], "segmenter": name})
+            out += [i | {"start": a, "end": b} for i in own for a, b in compaction.without(i["start"], i["end"], [(n["start"], n["end"]) for n in new])] + new
+        return out
 
     def build_index(self, segmenter: Tokenizer | None = None) -> int:
-        """Write the postings of all segments that have none; returns how many were indexed."""
+        """Write the postings of all segments that have none; returns how many were indexed.
+
+        Each id is in one part of the index only, however segments were merged since.
+        """
         version, meta = self.snapshot()
-        done = {i["start"]: i["end"] for i in meta["indexes"] if i["fields"] == meta["fields"]}
-        schema, todo = TableSchema.of(meta["fields"]), []
-        for seg in meta["segments"]:
-            if not any(a <= seg["start"] and seg["end"] <= b for a, b in done.items()):
-                todo.append(seg)
+        schema, own = TableSchema.of(meta["fields"]), self._indexes(meta, segmenter)
+        done = compaction.intervals([(i["start"], i["end"]) for i in own])
+        todo = [s for s in meta["segments"] if not any(a <= s["start"] and s["end"] <= b for a, b in done)]
         if not todo:
             return 0
         rows = postings.merge([self._segment(s, schema) for s in todo]).where("__valid")
-        path = self.folder("postings")
+        path, name = self.folder("postings"), segmenter_name(segmenter)
         postings.write(postings.build(rows.drop("__valid", HIDDEN_KEY), schema, segmenter), path)
-        kept = [i for i in meta["indexes"] if i["fields"] == meta["fields"]]
-        new = [{"path": path, "start": s["start"], "end": s["end"], "fields": meta["fields"]} for s in todo]
-        self.commit(version, meta | {"indexes": kept + new})
+        others = [i for i in meta["indexes"] if i["fields"] == meta["fields"] and i not in own]
+        taken = [(s["start"], s["end"]) for s in todo]
+        kept = [i | {"start": a, "end": b} for i in own for a, b in compaction.without(i["start"], i["end"], taken)]
+        new = [{"path": path, "start": s["start"], "end": s["end"], "fields": meta["fields"], "segmenter": name} for s in todo]
+        self.commit(version, meta | {"indexes": others + kept + new})
         return len(todo)
 
-    def index(self, meta: Mapping[str, Any] | None = None) -> DataFrame | None:
-        """The postings, if they cover every segment under the current fields; else None."""
+    def index(self, meta: Mapping[str, Any] | None = None, segmenter: Tokenizer | None = None) -> DataFrame | None:
+        """The postings, if those of this segmenter cover every segment under the current fields; else None."""
         meta = meta or self.snapshot()[1]
-        have = [i for i in meta["indexes"] if i["fields"] == meta["fields"]]
-        at, bounds = 0, sorted((i["start"], i["end"]) for i in have)
-        for a, b in bounds:
-            at = b if a <= at else at
-        if not have or at < meta["next_doc_id"]:
+        have = self._indexes(meta, segmenter)
+        covered = compaction.intervals([(i["start"], i["end"]) for i in have])
+        if not covered or covered[0][0] > 0 or covered[0][1] < meta["next_doc_id"]:
             return None
-        kind = "field string, term string, doc_id bigint, weight int, bucket int"
-        read = [self.spark.read.schema(kind).parquet(p) for p in dict.fromkeys(i["path"] for i in have)]
-        return postings.merge(read)
+        return self._postings(have)
+
+    # -- upkeep
+
+    def vacuum(self, min_age: float = 3600.0) -> list[str]:
+        """Delete what no version names that was current in the last ``min_age`` seconds; returns the paths.
+
+        Files that no version names yet, of a write that is under way, are spared as long.
+        """
+        names = [n for n in self.files.names(f"{self.path}/_meta") if n.endswith(".json")]
+        metas = [f"{self.path}/_meta/{n}" for n in names]
+        kept = [m for m, after in zip(metas, [*metas[1:], None]) if after is None or self.files.age(after) < min_age]
+        named = {x["path"] if isinstance(x, dict) else x for m in kept for k in ("segments", "tombstones", "indexes") for x in self.files.read_json(m)[k]}
+        gone = [m for m in metas if m not in kept]
+        for kind in ("segments", "tombstones", "postings"):
+            folders = [f"{self.path}/{kind}/{f}" for f in self.files.folders(f"{self.path}/{kind}")]
+            gone += [f for f in folders if f not in named and self.files.age(f) >= min_age]
+        for path in gone:
+            self.files.delete(path)
+        return gone
+
+    def last_dead(self) -> int | None:
+        """The largest id among the tombstones."""
+        dead = self.tombstones(self.snapshot()[1])
+        return None if dead is None else dead.agg(F.max("doc_id")).first()[0]
+
+    def outcomes(self, stream: str) -> DataFrame:
+        """What became of each change of a stream, of the batches that were published: batch, seq, op, key, doc_id, status, error."""
+        kind = "seq bigint, op string, key string, doc_id bigint, status string, error string, batch bigint"
+        last, path = self.snapshot()[1].get("streams", {}).get(stream, -1), f"{self.path}/outcomes/{stream}"
+        if last < 0 or not self.files.exists(path):
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(path).where(F.col("batch") <= last)
 
     def status(self) -> DataFrame:
         """One row a segment: its range of ids, rows, live documents and fields."""

@@ -2,7 +2,8 @@
 
 One query writes a table, micro-batch by micro-batch, so writes are serial.  The number of
 the last batch is part of the table's metadata and published with the data: a batch that is
-run again after a failure changes nothing, so each change takes effect once.
+run again after a failure changes nothing, so each change takes effect once.  What became of
+each change, refused ones too, is written with its batch: ``Table.outcomes``.
 """
 
 from __future__ import annotations
@@ -29,4 +30,6 @@ def ingest(engine: Engine, db: str, table: str, stream: DataFrame, checkpoint: s
 
     writer = stream.writeStream.queryName(name).foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start()
+    query = writer.start()
+    engine.streams.append(query)
+    return query

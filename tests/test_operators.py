@@ -167,6 +167,81 @@ def test_compaction_groups():
     assert compaction.plan([], 4) == [] and compaction.plan([1], 4) == []
 
 
+def test_recent_segments_and_ranges():
+    assert compaction.recent([]) == compaction.recent([5]) == compaction.recent([100, 1]) == []
+    assert compaction.recent([1, 1, 1]) == [0, 1, 2] and compaction.recent([81, 16, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
+    assert compaction.intervals([(5, 7), (0, 2), (2, 3), (6, 9)]) == [(0, 3), (5, 9)]
+    assert compaction.without(0, 10, [(2, 3), (5, 20)]) == [(0, 2), (3, 5)] and compaction.without(0, 2, [(0, 2)]) == [] and compaction.without(0, 2, []) == [(0, 2)]
+
+
+def test_postings_are_counted_in_the_row(spark):
+    docs = spark.createDataFrame([(0, "b a a。a", "x;y;x", "ab", "a b"), (1, None, "", None, "q"), (2, "", None, "é", None)], "doc_id bigint, t string, l string, r string, w string")
+    schema = TableSchema.of({"t": "words", "l": "list", "r": "rune", "w": "whole"})
+    built = postings.build(docs, schema)
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["doc_id"], r["field"], r["term"], r["weight"]) for r in built.collect())
+    want = [(0, "t", "a", 7500), (0, "t", "b", 2500), (0, "l", "x", 0), (0, "l", "y", 0), (0, "r", "a", 0), (0, "r", "b", 0), (0, "w", "a b", 0), (1, "w", "q", 0), (2, "r", "é", 0)]
+    # The terms of all fields together: b a a a, x y x, ab, a b.
+    want += [(0, "#all", t, int(np.float32(n) / np.float32(10) * np.float32(10000))) for t, n in (("a", 4), ("b", 2), ("x", 2), ("y", 1), ("ab", 1))] + [(1, "#all", "q", 10000), (2, "#all", "é", 10000)]
+    assert got == sorted(want)
+    by_segmenter = postings.build(docs, schema, analysis.words)
+    assert sorted((r["doc_id"], r["field"], r["term"], r["weight"]) for r in by_segmenter.collect()) == got
+
+
+def test_walked_postings_come_in_parts(spark):
+    p = postings.build(spark.createDataFrame([(i, "a") for i in range(10)], "doc_id bigint, t string"), TableSchema.of({"t": "words"}), cross_field=False)
+    assert sorted((r["part"], [x["doc_id"] for x in r["postings"]]) for r in postings.walk(p, 4).collect()) == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7]), (2, [8, 9])]
+
+
+def test_probable_cuts(spark):
+    import math
+    from itertools import product
+
+    seg = analysis.probability_segmenter({"北京": 50, "天安门": 30, "天安": 1, "门": 5, "我": 100, "爱": 80, "大学": 40, "北京大学": 20, "大学生": 10, "生": 5})
+    got = spark.createDataFrame([("我爱北京天安门 ok",), ("北京大学生活",), (None,)], "t string").select(seg(F.col("t"))).collect()
+    assert [r[0] for r in got] == [["我", "爱", "北京", "天安门", "ok"], ["北京", "大学生", "活"], []]
+    weights = {"a": -3.0, "ab": -4.0, "abc": -7.0, "bc": -2.5, "c": -3.0, "ca": -3.5}
+
+    def best(run):  # over all cuts
+        out = []
+        for bits in product((0, 1), repeat=len(run) - 1):
+            words, w = [], run[0]
+            for c, b in zip(run[1:], bits):
+                if b:
+                    words.append(w)
+                    w = c
+                else:
+                    w += c
+            words.append(w)
+            if all(x in weights or len(x) == 1 for x in words):
+                out.append((sum(weights.get(x, -9.0) for x in words), words))
+        return max(out)[0]
+
+    for run in ("abcabc", "aabca", "cab", "abcab"):
+        cut = analysis.probable_cut(run, weights, 3, -9.0)
+        assert "".join(cut) == run and math.isclose(sum(weights.get(x, -9.0 * len(x)) for x in cut), best(run))
+    states = analysis.StateModel({"B": -0.5, "S": -1.0}, {"B": {"E": -0.2, "M": -2.0}, "M": {"E": -0.5, "M": -1.0}, "E": {"B": -0.7, "S": -0.7}, "S": {"B": -0.7, "S": -0.7}}, {"B": {"小": -1.0}, "E": {"明": -1.0}, "S": {"去": -1.0}})
+    assert states.cut("小明去") == ["小明", "去"] and states.cut("") == []
+    assert analysis.probable_cut("我爱小明去", {"我": -1.0, "爱": -1.0}, 1, -9.0, states) == ["我", "爱", "小明", "去"]
+
+
+def test_bits(spark):
+    at = F.col("i")
+    got = spark.createDataFrame([(5, 0), (5, 1), (-1, 63), (0, 63), (7, 64), (None, 1)], "x bigint, i int").select(scalars.bit_test(F.col("x"), at), scalars.bit_set(F.col("x"), at), scalars.bit_clear(F.col("x"), at)).collect()
+    assert [tuple(r) for r in got] == [(True, 5, 4), (False, 7, 5), (True, -1, SENTINEL), (False, -SENTINEL - 1, 0), (None, None, None), (None, None, None)]
+
+
+def test_ordered_maps(spark):
+    from quillsift.operators import ordered
+
+    rows = spark.createDataFrame([("t", "b", 1), ("t", "a", 2), ("u", "0", 9)], "tree string, key string, value bigint")
+    up = spark.createDataFrame([("t", "b", 5, 1), ("t", "b", 6, 2), ("t", "c", 7, 1)], "tree string, key string, value bigint, seq bigint")
+    new = ordered.put(rows, up)
+    assert sorted(map(tuple, new.collect())) == [("t", "a", 2), ("t", "b", 6), ("t", "c", 7), ("u", "0", 9)]
+    assert tuple(ordered.first(new, "t").first()) == ("a", 2) and tuple(ordered.after(new, "t", "a").first()) == ("b", 6) and ordered.after(new, "t", "c").first() is None
+    assert ordered.get(new, "t", "z").first() is None and sorted(map(tuple, ordered.increment(new, rows).where("key = 'b'").collect())) == [("t", "b", 7)]
+
+
 def test_schemas():
     with pytest.raises(ValueError):
         TableSchema.of({"a": "primary", "b": "primary"})

@@ -2,11 +2,17 @@
 
 import json
 import random
+import threading
+import time
+import urllib.request
 
 import pytest
 
+from quillsift.functions import analysis
+from quillsift.plans import service
 from quillsift.plans.engine import Engine
 from quillsift.plans.routes import route
+from quillsift.sources.store import VersionTaken
 from quillsift.streaming.ingest import OPS, changes, ingest
 
 FIELDS = {"id": "primary", "name": "whole", "age": "number", "about": "words", "born": "time", "raw": "pure"}
@@ -177,3 +183,175 @@ def test_stream_applies_each_change_once(engine, spark, tmp_path):
     assert engine.table("db", "t").snapshot()[1]["streams"] == {"s": 1}
     again = spark.createDataFrame([(0, "delete", "1", None)], OPS)
     assert engine.apply("db", "t", again, ("s", 1)).count() == 0 and len(live(engine)) == 20
+
+
+def found(engine, **request):
+    rows = engine.search("db", "t", {"fieldName": "about", "value": "x"} | request).collect()
+    return sorted(r["key"] for r in rows), rows[0]["total"] if rows else 0
+
+
+def test_index_after_compaction_gives_each_hit_once(engine):
+    t = engine.table("db", "t")
+    for k in range(5):
+        apply(engine, ("insert", str(k), body(about="x y")), ("insert", f"n{k}", body()))
+        t.build_index()
+    apply(engine, ("delete", "1", None), ("update", "2", body(about="y")), ("update", "n3", body(about="x")))
+    t.build_index()
+    want = (["0", "3", "4", "n3"], 4)
+    assert found(engine) == want
+    assert t.compact(1 << 40) == [list(range(6))]
+    meta = t.snapshot()[1]
+    assert len(meta["indexes"]) == 1 and meta["tombstones"] == [] and t.index(meta) is not None and found(engine) == want
+    assert t.build_index() == 0 and found(engine) == want
+    apply(engine, ("insert", "9", body(about="x")))
+    assert t.index() is None and t.build_index() == 1
+    assert found(engine) == (["0", "3", "4", "9", "n3"], 5) and found(engine, offset=0, size=2)[1] == 5
+    t.compact(1 << 40)
+    ids = [r["doc_id"] for r in t.index().where("field = 'about' and term = 'x'").collect()]
+    assert len(ids) == len(set(ids)) == 5
+
+
+def test_an_index_that_covers_a_part_of_a_merged_segment(engine):
+    t = engine.table("db", "t")
+    apply(engine, ("insert", "1", body(about="x")))
+    t.build_index()
+    apply(engine, ("insert", "2", body(about="x")))
+    t.compact(1 << 40)
+    assert t.index() is None and found(engine) == (["1", "2"], 2)
+    assert t.build_index() == 1 and t.index() is not None and found(engine) == (["1", "2"], 2)
+
+
+def test_an_index_of_another_segmenter_is_not_used(engine, spark):
+    apply(engine, ("insert", "1", body(about="我爱北京")))
+    t = engine.table("db", "t")
+    t.build_index()
+    other = Engine(spark, engine.root, segmenter=analysis.dictionary_segmenter(["北京"]), merge_at_start=False)
+    search = lambda e: [r["key"] for r in e.search("db", "t", {"fieldName": "about", "value": "北京"}).collect()]
+    assert search(engine) == [] and t.index(segmenter=other.segmenter) is None and search(other) == ["1"]
+    t.build_index(other.segmenter)
+    assert t.index() is not None and t.index(segmenter=other.segmenter) is not None and search(engine) == [] and search(other) == ["1"]
+    assert analysis.segmenter_name(analysis.dictionary_segmenter(["b", "a"])) == analysis.segmenter_name(analysis.dictionary_segmenter(["a", "b"]))
+
+
+def test_upkeep_by_number_of_segments(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "root"), max_segments=3, keep_seconds=0)
+    engine.create_database("db")
+    engine.create_table("db", "t", FIELDS)
+    for k in range(6):
+        apply(engine, ("insert", str(k), body()), ("delete", str(k - 1), None))
+    t = engine.table("db", "t")
+    meta = t.snapshot()[1]
+    assert len(meta["segments"]) <= 4 and list(live(engine)) == ["5"]
+    t.compact(1 << 40)
+    t.vacuum(0)
+    meta = t.snapshot()[1]
+    assert len(meta["segments"]) == 1 and meta["tombstones"] == [] and t.status().first()["n_rows"] == 1
+    assert [len(t.files.folders(f"{t.path}/{k}")) for k in ("segments", "tombstones", "postings")] == [1, 0, 0] and len(t.files.names(f"{t.path}/_meta")) == 1
+    apply(engine, ("insert", "6", body()), ("delete", "5", None))
+    again = Engine(spark, engine.root)  # merges as it starts
+    assert len(again.table("db", "t").snapshot()[1]["segments"]) == 1 and list(live(again)) == ["6"]
+
+
+def test_a_segment_on_its_own_is_purged_when_much_of_it_is_dead(engine):
+    apply(engine, *[("insert", str(k), body()) for k in range(4)])
+    t = engine.table("db", "t")
+    apply(engine, ("delete", "0", None))
+    assert t.compact(1) == [] and t.last_dead() == 0
+    apply(engine, ("delete", "1", None))
+    assert t.compact(1) == [[0]] and t.snapshot()[1]["tombstones"] == [] and t.status().first()["n_rows"] == 2 and live(engine) == {"2": 2, "3": 3}
+
+
+def test_vacuum_spares_recent_versions_and_writes_under_way(engine):
+    apply(engine, ("insert", "1", body()))
+    apply(engine, ("insert", "2", body()))
+    t = engine.table("db", "t")
+    old = t.snapshot()[1]
+    t.compact(100)
+    stray = t.folder("segments")
+    t.files.mkdirs(stray)
+    assert t.vacuum(3600) == [] and t.live(old).count() == 2
+    gone = t.vacuum(0)
+    assert stray in gone and {s["path"] for s in old["segments"]} <= set(gone) and len(live(engine)) == 2 and t.vacuum(0) == []
+
+
+def test_equal_numbers_are_taken_in_a_defined_order(engine, spark):
+    rows = [(1, "insert", "a", body(age=2)), (1, "insert", "a", body(age=2)), (1, "delete", "a", None), (1, "insert", "b", body(age=1)), (1, "update", "b", body(age=2)), (1, "update", "b", body(age=3))]
+    seen = set()
+    for k in range(2):
+        engine.create_table("db", f"t{k}", FIELDS)
+        random.Random(k).shuffle(rows)
+        out = engine.apply("db", f"t{k}", spark.createDataFrame(rows, OPS))
+        t = engine.table("db", f"t{k}")
+        now = sorted((r["key"], r["age"], r["doc_id"]) for r in t.shown(t.live()).collect())
+        seen.add((tuple(sorted((r["op"], r["key"], r["status"], r["doc_id"] or -1) for r in out.collect())), tuple(now)))
+    assert len(seen) == 1 and [n[0] for n in now] == ["a", "b"]
+
+
+def test_threads_write_in_groups_and_lose_nothing(engine):
+    def work(k):
+        for n in range(6):
+            replies.append(route(engine, "POST", f"/db/t/{k}-{n % 5}", body()))
+
+    replies, began = [], time.time()
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    took = time.time() - began
+    codes = [r[1]["code"] for r in replies]
+    assert codes.count(0) == 40 and codes.count(1) == 8 and len(live(engine)) == 40
+    assert engine.table("db", "t").snapshot()[0] < 40, took  # fewer versions than changes
+
+
+def test_a_lost_version_is_tried_again(engine, monkeypatch):
+    from quillsift.sources.store import Table
+
+    commit, lost = Table.commit, []
+
+    def losing(self, version, meta):
+        if len(lost) < 2:
+            lost.append(version)
+            raise VersionTaken("taken")
+        commit(self, version, meta)
+
+    monkeypatch.setattr(Table, "commit", losing)
+    assert engine.insert("db", "t", "1", json.loads(body())) == "1" and len(lost) == 2 and live(engine) == {"1": 0}
+    monkeypatch.setattr(Table, "commit", lambda *_: (_ for _ in ()).throw(VersionTaken("taken")))
+    monkeypatch.setattr("quillsift.plans.engine.RETRIES", 1)
+    assert route(engine, "POST", "/db/t/2", body())[1]["code"] == 1
+
+
+def test_lookups_by_key_reach_the_scan(engine):
+    apply(engine, ("insert", "1", body()))
+    plan = engine.table("db", "t").get("1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(__key,1)" in plan
+
+
+def test_outcomes_of_a_stream(engine, spark, tmp_path):
+    rows = [{"seq": 1, "op": "insert", "key": "1", "body": body()}, {"seq": 2, "op": "insert", "key": "1", "body": body()}, {"seq": 3, "op": "nope", "key": "1", "body": None}]
+    (tmp_path / "in").mkdir()
+    for k, r in enumerate(rows):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(r))
+    assert engine.table("db", "t").outcomes("s").collect() == []
+    ingest(engine, "db", "t", changes(spark, str(tmp_path / "in")), str(tmp_path / "cp"), "s", available_now=True).awaitTermination()
+    got = engine.table("db", "t").outcomes("s").orderBy("seq").collect()
+    assert [(r["batch"], r["status"], r["error"]) for r in got] == [(0, "ok", None), (0, "failed", "the key exists"), (0, "failed", "unknown operation")]
+
+
+def test_the_process_serves_and_stops(spark, tmp_path):
+    with pytest.raises(ValueError):
+        service.read_config("nope = 1")
+    config = service.read_config(f"root = {tmp_path}/root  # where\n\nport = 9537\nmerge_at=10")
+    assert config["merge_at"] == "10" and config["host"] == "127.0.0.1"
+    stop, ready = threading.Event(), threading.Event()
+    thread = threading.Thread(target=service.run, args=(spark, config, stop, ready))
+    thread.start()
+    assert ready.wait(60)
+    ask = lambda method, path: json.load(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:9537{path}", method=method)))
+    assert ask("POST", "/d")["code"] == 0 and ask("GET", "/_status") == [{"database": "d", "tables": []}]
+    stop.set()
+    thread.join(60)
+    assert not thread.is_alive()
+    with pytest.raises(OSError):
+        ask("GET", "/_status")
