@@ -1,16 +1,20 @@
 """Exact dedup by a sharded cuckoo-filter index of content digests.
 
 Documents are routed to shards by a 128-bit digest of their text; only digests and ids
-travel.  Each shard replays its part in order of ``doc_id`` against a cuckoo filter whose
+travel, and of those with one digest in a batch of rows only the smallest id: the others take
+its outcome, so that a text which a third of all documents share is not one task's.  Each
+shard replays its part in order of ``doc_id`` against a cuckoo filter whose
 slots keep, beside the 16-bit fingerprint, the stored key (digest and the document that
 holds it).  A filter hit counts once the stored key in that bucket has the same digest; an
 insertion that finds no slot doubles the table and re-inserts the stored keys; a deletion
 removes a live digest, after which the next copy becomes its holder.  Digest hits are then
-verified on content: the texts of the hits and of their holders, and no others, are brought
-together by holder and compared; texts that differ under one digest are grouped by text.
+verified on content: the texts of the hits and of their holders are brought together by digest
+and compared; texts that differ under one digest are grouped by text.  Texts that no hit needs
+are dropped before they travel, by a bitmap of the digests that are needed (``bitmap``).
 
 Defined results: a null text has no content and is no duplicate; empty texts are copies of
-each other; a null ``doc_id`` is passed through as no duplicate and holds nothing; of rows
+each other; a null ``doc_id`` is passed through as no duplicate and holds nothing; a ``doc_id``
+must be a whole number, or a string of one (any other is an error); of rows
 that repeat a ``doc_id`` and text, one is kept; the keeper is the smallest ``doc_id``; an
 empty table gives an empty result; other columns are not read.  Texts are compared whole.
 """
@@ -26,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmap import Bitmap
 from .common import materialize
 
 SLOTS = 4
@@ -151,17 +156,36 @@ def replay(log: DataFrame) -> DataFrame:
     return keyed.repartition("a", "b").sortWithinPartitions("seq", "id").select("id", "a", "b", "removal").mapInArrow(_replay, _OUT)
 
 
+_LOCAL = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "a", "b", "rep")] + [T.StructField("goes", T.BooleanType())])
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``rep``, the smallest id of the rows of a batch with the same digest, and whether a row is the one that goes to the shard."""
+    for batch in batches:
+        ids, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "a", "b"))
+        order = np.lexsort((ids, b, a))
+        ids, a, b = ids[order], a[order], b[order]
+        goes = np.ones(len(ids), bool)
+        goes[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        rep = ids[np.flatnonzero(goes)][np.cumsum(goes) - 1] if len(ids) else ids
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, a, b, rep, goes)], names=_LOCAL.names)
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keeper_id, is_duplicate."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    seen = materialize(replay(docs.select("id", F.col("id").alias("seq"), "text", F.lit(False).alias("removal"))), "cuckoo")
-    hits = seen.where("outcome = 'duplicate'").select("id", "a", "b", "holder")
-    wanted = hits.select("id", "a", "b").union(hits.select("holder", "a", "b")).distinct()
-    wanted = materialize(wanted, "wanted")
+    content = docs.where("text is not null and id is not null").select("id", *_digests(), "text")
+    local = materialize(content.select("id", "a", "b").mapInArrow(_smallest, _LOCAL), "local")
+    shards = local.where("goes").select("id", "a", "b", F.lit(False).alias("removal")).repartition("a", "b").sortWithinPartitions("id")
+    first = materialize(shards.mapInArrow(_replay, _OUT), "cuckoo")
+    holders = first.select(F.col("id").alias("rep"), "a", "b", "holder").distinct()
+    others = local.where("not goes").join(holders, ["rep", "a", "b"]).select("id", "a", "b", "holder")
+    hits = materialize(first.where("outcome = 'duplicate'").select("id", "a", "b", "holder").unionByName(others), "hits")
+    wanted = materialize(hits.select("id", "a", "b").union(hits.select("holder", "a", "b")).distinct(), "wanted")
     # Content is bucketed by digest, and each bucket keeps what its hits and their holders need;
     # hashing the narrow side leaves the texts unsorted, and the plan is the same at any size.
-    content = docs.where("text is not null and id is not null").select("id", *_digests(), "text")
-    texts = content.join(wanted.hint("shuffle_hash"), ["id", "a", "b"], "left_semi").distinct()
+    some = content.where(Bitmap.filter(*Bitmap.write(wanted.select("a", "b").distinct()))(F.col("a"), F.col("b")))
+    texts = some.join(wanted.hint("shuffle_hash"), ["id", "a", "b"], "left_semi").distinct()
     texts = materialize(texts, "texts")
     held = texts.withColumnsRenamed({"id": "holder", "text": "held"})
     same = F.col("text") == F.col("held")
@@ -172,7 +196,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         "id", F.min("id").over(alike).alias("keeper"), (F.row_number().over(alike.orderBy("id")) > 1).alias("dup")
     )
     out = (
-        seen.where("outcome = 'inserted'").select("id", F.col("id").alias("keeper"), F.lit(False).alias("dup"))
+        first.where("outcome = 'inserted'").select("id", F.col("id").alias("keeper"), F.lit(False).alias("dup"))
         .union(checked.where("same").select("id", F.col("holder"), F.lit(True)))
         .union(differ)
         .union(docs.where("text is null or id is null").select("id", "id", F.lit(False)))
