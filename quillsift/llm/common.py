@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -35,18 +37,59 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized within is deleted at the end, but for what outlives its scope."""
+    _SCOPES.open.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.open.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, tag: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df, tag))
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, tag, outlives))
 
 
-def store(df: DataFrame, tag: str) -> str:
+def store(df: DataFrame, tag: str, outlives: bool = False) -> str:
+    """Write ``df``; it goes with the innermost scope, or the one around that if it ``outlives`` it, or stays if there is none."""
     path = f"{shared_dir(df.sparkSession)}/quillsift-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _SCOPES.open[:-1] if outlives else _SCOPES.open
+    if scopes:
+        scopes[-1].append(path)
     return path
 
 
-def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs within, as each is held whole by the executor, too; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(texts: pa.Array, size: int = 1 << 19) -> Iterator[pa.Array]:
     """A string array in consecutive parts of about ``size`` bytes, one row at least; an empty one as it is.
 
     Array passes over a text hold many bytes for each of its own, so what a worker holds is
@@ -149,27 +192,28 @@ def positive(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def ranked(df: DataFrame, keys: list[str], order: Column, rows: int, out: str, chunk_rows: int = 100_000) -> DataFrame:
-    """Add ``out``: the 0-based rank of each row within ``keys`` by ``order`` (a 64-bit hash), ties by all columns.
+def chunk_bits(rows: int, chunk_rows: int) -> int:
+    """Leading bits of a hash that cut so many rows into chunks of about ``chunk_rows``."""
+    return max(0, math.ceil(math.log2(max(1, rows) / chunk_rows)))
+
+
+def ranked(df: DataFrame, key: str, order: Column, bits: list[int], other: int, out: str) -> DataFrame:
+    """Add ``out``: the 0-based rank of each row within ``key`` by ``order`` (a 64-bit hash), ties by all columns.
 
-    A window over a hot key would run in one task.  Here the hash range is cut into chunks
-    of about ``chunk_rows`` rows; only the counts of (key, chunk) are summed over a key, and
-    the rows are ranked within their chunk.  Rows that tie in every column are the same to
-    any reader, so their order does not matter.
+    A window over a hot key would run in one task.  Here the hash range of a key is cut into
+    2^bits chunks, ``bits[key]`` (``other`` for a null key), so there are about as many chunks
+    as there are keys and full chunks; only their counts are summed over a key, and the rows
+    are ranked within their chunk.  Rows that tie in every column are the same to any reader,
+    so their order does not matter.
     """
     from pyspark.sql import Window as W
 
-    bits = max(0, math.ceil(math.log2(max(1, rows) / chunk_rows)))
+    of = F.coalesce(F.get(F.from_json(F.lit(str(bits)), F.lit("array<int>")), F.col(key).cast("int")), F.lit(other))
     hashed = df.withColumn("__h", positive(order))
-    hashed = hashed.withColumn("__c", F.shiftright("__h", 63 - bits).cast("int"))
-    if not bits:
-        w = W.partitionBy(*keys).orderBy("__h", *df.columns)
-        return hashed.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("__h", "__c")
-    counts = hashed.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*keys).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__c"])]
-    base = counts.select(*named, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__c"])]
-    joined = hashed.join(base, on).select(*hashed.columns, "__base")
-    w = W.partitionBy(*keys, "__c").orderBy("__h", *df.columns)
+    hashed = hashed.withColumn("__c", F.call_function("shiftright", F.col("__h"), F.lit(63) - of).cast("int"))
+    counts = hashed.groupBy(key, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(key).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    base = counts.select(F.col(key).alias("__k0"), F.col("__c").alias("__k1"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    joined = hashed.join(base, F.col(key).eqNullSafe(F.col("__k0")) & (F.col("__c") == F.col("__k1"))).select(*hashed.columns, "__base")
+    w = W.partitionBy(key, "__c").orderBy("__h", *df.columns)
     return joined.withColumn(out, (F.row_number().over(w) - 1 + F.col("__base")).cast("long")).drop("__h", "__c", "__base")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_buffer, materialize, mix, store
+from .common import list_buffer, materialize, mix, scratch, store
 
 MIN_CHARS = 20
 MIN_COUNT = 2
@@ -169,43 +169,52 @@ def doomed(ids: np.ndarray, offsets: np.ndarray, lines: np.ndarray, valid: np.nd
     return out, by, chars
 
 
-_MARKS = T.StructType([T.StructField("by", T.ArrayType(T.LongType())), T.StructField("chars", T.ArrayType(T.LongType()))])
+_MARKS = T.StructType([T.StructField("by", T.ArrayType(T.LongType())), T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("share", T.DoubleType())])
+
+
+def shares(ids: np.ndarray, offsets: np.ndarray, gone: np.ndarray, by: np.ndarray, chars: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of the text in long lines of a document, or of the earlier one that holds most of it if that has more, the share that both have."""
+    total = np.concatenate([[0], np.cumsum(length)])
+    own, share = total[offsets[1:]] - total[offsets[:-1]], np.zeros(len(ids))
+    line = np.flatnonzero(gone)
+    row = np.searchsorted(offsets, line, "right") - 1
+    line, row = (x[by[line] != ids[row]] for x in (line, row))
+    order = np.lexsort((by[line], row))
+    line, row = line[order], row[order]
+    if len(line):
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (by[line[1:]] != by[line[:-1]])]))
+        both = np.add.reduceat(length[line], first)
+        np.maximum.at(share, row[first], both / np.maximum(np.maximum(own[row[first]], chars[line[first]]), 1))
+    return share
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    return list_buffer(lists)[1].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _probe(path: str, shards: int, passes: int, turn: int, min_count: int):
     @F.arrow_udf(_MARKS)
-    def probe(ids: pa.Array, lines: pa.Array) -> pa.Array:
+    def probe(ids: pa.Array, lines: pa.Array, lengths: pa.Array) -> pa.Array:
+        """Marks of each line; the share, from the lengths of the lines, counts what this pass found."""
         offsets, flat = list_buffer(lines)
         valid = flat.is_valid().to_numpy(zero_copy_only=False)
-        known = np.repeat(ids.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets))
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
         gone, by, chars = doomed(
-            ids.fill_null(0).to_numpy(zero_copy_only=False), offsets, flat.fill_null(0).to_numpy(zero_copy_only=False),
-            valid & known, Index.of(path, shards, passes, turn), min_count,
-        )
+            ids, offsets, flat.fill_null(0).to_numpy(zero_copy_only=False), valid & np.repeat(known, np.diff(offsets)), Index.of(path, shards, passes, turn), min_count
+        )
+        share = shares(ids, offsets, gone, by, chars, _flat(lengths)) if len(list_buffer(lengths)[1]) == len(flat) else np.zeros(len(ids))
         lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, mask=~gone)) for x in (by, chars)]
-        return pa.StructArray.from_arrays(lists, names=_MARKS.names)
+        return pa.StructArray.from_arrays([*lists, pa.array(share)], names=_MARKS.names)
 
     return probe
 
 
 @F.arrow_udf(T.DoubleType())
 def _copied(ids: pa.Array, by: pa.Array, chars: pa.Array, lengths: pa.Array) -> pa.Array:
-    """Of the text in long lines of a document, or of the earlier one that holds most of it if that has more, the share that both have."""
+    """The shares, of marks that several passes found."""
     offsets, flat = list_buffer(by)
-    ids, size = ids.fill_null(0).to_numpy(zero_copy_only=False), list_buffer(chars)[1].fill_null(0).to_numpy(zero_copy_only=False)
-    at, length = list_buffer(lengths)[0], list_buffer(lengths)[1].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    total = np.concatenate([[0], np.cumsum(length)])
-    own, share = total[at[1:]] - total[at[:-1]], np.zeros(len(ids))
-    line = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
-    row, holder = np.searchsorted(offsets, line, "right") - 1, flat.fill_null(0).to_numpy(zero_copy_only=False)[line]
-    line, row, holder = (x[holder != ids[row]] for x in (line, row, holder))
-    order = np.lexsort((holder, row))
-    line, row, holder = line[order], row[order], holder[order]
-    if len(line):
-        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1])]))
-        both = np.add.reduceat(length[at[row] + line - offsets[row]], first)
-        np.maximum.at(share, row[first], both / np.maximum(np.maximum(own[row[first]], size[line[first]]), 1))
-    return pa.array(share)
+    gone = flat.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array(shares(ids.fill_null(0).to_numpy(zero_copy_only=False), offsets, gone, _flat(by), _flat(chars), _flat(lengths)))
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -223,37 +232,45 @@ def line_lengths(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda line: F.when(F.length(F.trim(line)) >= min_chars, F.length(F.trim(line))).otherwise(0))
 
 
-def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES):
-    """Write the shards; returns their path, the number of shards and of passes."""
+def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES, sizes: bool = False):
+    """Write the shards; returns their path, the number of shards and of passes.  How much text the first document has is taken with ``sizes`` only."""
     text = F.aggregate(line_lengths(F.col("text"), min_chars), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    lines = docs.where("doc_id is not null").select(F.named_struct(F.lit("d"), F.col("doc_id").cast("bigint"), F.lit("chars"), text).alias("d"), F.explode(line_hashes(F.col("text"), min_chars)).alias("line"))
+    own = F.col("doc_id").cast("bigint")
+    whole = docs.where("doc_id is not null").select((F.named_struct(F.lit("d"), own, F.lit("chars"), text) if sizes else own).alias("d"), line_hashes(F.col("text"), min_chars).alias("lines"))
+    lines = whole.select("d", F.explode("lines").alias("line"))  # a step of its own, so that the text is gone before its lines are rows
     counted = lines.where("line is not null").groupBy("line").agg(F.count(F.lit(1)).alias("count"), F.min("d").alias("first"))
-    repeated = materialize(counted.where(F.col("count") >= min_count).select("line", "count", F.col("first.d").alias("holder"), F.col("first.chars").alias("chars")), "lines")
-    n = repeated.count()
-    shards, passes = max(1, math.ceil(n / SHARD_KEYS)), max(1, math.ceil(n * KEY_BYTES / pass_bytes))
-    shards = max(shards, passes)
-    keyed = repeated.withColumn("shard", F.pmod("line", F.lit(shards)).cast("int"))
-    built = keyed.groupBy("shard").applyInArrow(build_shard, _SHARD)
-    return store(built.withColumn("turn", F.col("shard") % passes), "mph"), shards, passes
-
-
-def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    holder = [F.col("first.d").alias("holder"), F.col("first.chars").alias("chars")] if sizes else [F.col("first").alias("holder"), F.lit(0).cast("bigint").alias("chars")]
+    with scratch(docs.sparkSession):
+        repeated = materialize(counted.where(F.col("count") >= min_count).select("line", "count", *holder), "lines")
+        n = repeated.count()
+        shards, passes = max(1, math.ceil(n / SHARD_KEYS)), max(1, math.ceil(n * KEY_BYTES / pass_bytes))
+        shards = max(shards, passes)
+        keyed = repeated.withColumn("shard", F.pmod("line", F.lit(shards)).cast("int"))
+        built = keyed.groupBy("shard").applyInArrow(build_shard, _SHARD)
+        return store(built.withColumn("turn", F.col("shard") % passes), "mph", outlives=True), shards, passes
+
+
+def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES, sizes: bool = False) -> DataFrame:
     """(r: the row of the documents as a struct, hashes of its lines, marks: for each line that goes its first document, ``by``, and that one's ``chars``)."""
-    path, shards, passes = build_index(docs, min_chars, min_count, pass_bytes)
+    path, shards, passes = build_index(docs, min_chars, min_count, pass_bytes, sizes)
     rows = docs.select(F.struct(*docs.columns).alias("r"))
     hashes = line_hashes(F.col("r.text"), min_chars)
+    lengths = lambda text: line_lengths(text, min_chars) if sizes else F.lit(None).cast("array<int>")
     if passes == 1:
-        marks = _probe(path, shards, 1, 0, min_count)(F.col("r.doc_id").cast("bigint"), hashes)
+        marks = _probe(path, shards, 1, 0, min_count)(F.col("r.doc_id").cast("bigint"), hashes, lengths(F.col("r.text")))
         return rows.select("r", hashes.alias("hashes"), marks.alias("marks"))
     # Marks depend on a row's doc_id and text alone, so these are the key that brings them back to the rows.
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     none = F.lit(None).cast(_MARKS)
-    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("d"), digest(F.col("text")).alias("k"), line_hashes(F.col("text"), min_chars).alias("l"), none.alias("marks"))
+    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("d"), digest(F.col("text")).alias("k"), line_hashes(F.col("text"), min_chars).alias("l"), lengths(F.col("text")).alias("n"), none.alias("marks"))
     for turn in range(passes):
-        more = _probe(path, shards, passes, turn, min_count)(F.col("d"), F.col("l"))
-        each = [F.zip_with(f"marks.{c}", f"more.{c}", lambda a, b: F.coalesce(a, b)).alias(c) for c in _MARKS.names]
-        both = F.when(F.col("marks").isNull(), F.col("more")).otherwise(F.struct(*each))
-        narrow = materialize(narrow.withColumn("more", more).select("d", "k", "l", both.alias("marks")), f"pass{turn}")
+        more = _probe(path, shards, passes, turn, min_count)(F.col("d"), F.col("l"), F.col("n"))
+        each = [F.zip_with(f"marks.{c}", f"more.{c}", lambda a, b: F.coalesce(a, b)).alias(c) for c in ("by", "chars")]
+        both = F.when(F.col("marks").isNull(), F.col("more")).otherwise(F.struct(*each, F.col("more.share").alias("share")))
+        narrow = materialize(narrow.withColumn("more", more).select("d", "k", "l", "n", both.alias("marks")), f"pass{turn}")
+    if sizes:
+        share = _copied(F.col("d"), F.col("marks.by"), F.col("marks.chars"), F.col("n"))
+        narrow = narrow.withColumn("marks", F.struct("marks.by", "marks.chars", share.alias("share")))
     once = narrow.groupBy("d", "k").agg(F.first("marks").alias("marks"))
     on = (F.col("r.doc_id").cast("bigint") == F.col("d")) & (digest(F.col("r.text")) == F.col("k"))
     return rows.join(once, on, "left").select("r", hashes.alias("hashes"), "marks")
@@ -269,20 +286,6 @@ def _counts(hashes: Column, by: Column) -> tuple[Column, Column]:
     return count(hashes), count(by)
 
 
-def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """One row a document: doc_id, its text without repeated lines, how many of its long lines went, keep.
-
-    ``keep`` is false where lines went and no line of at least ``min_chars`` is left, as in
-    the SQL; shorter lines may be left in the text (``stage`` looks at these, too).
-    """
-    m = marked(docs, min_chars, min_count, pass_bytes)
-    long, went = _counts(F.col("hashes"), F.col("marks.by"))
-    return m.select(
-        F.col("r.doc_id").alias("doc_id"), _left(F.col("r.text"), F.col("marks.by")).alias("text"),
-        long.alias("n_long_lines"), went.alias("n_removed"), (~((went > 0) & (went == long))).alias("keep"),
-    )
-
-
 def short_lines(text: Column, min_chars: int) -> Column:
     """The distinct hashes of the lines that are too short to be touched and not blank."""
     short = F.filter(F.split(text, "\n", -1), lambda x: (F.length(F.trim(x)) < min_chars) & (F.length(F.btrim(x, F.lit(" \t\r\f\v"))) > 0))
@@ -290,13 +293,34 @@ def short_lines(text: Column, min_chars: int) -> Column:
 
 
 def _own(docs: DataFrame, emptied: DataFrame, min_chars: int) -> DataFrame:
-    """(d, own): of the documents without a long line, the short lines that no earlier document holds."""
-    pairs = materialize(emptied.select(F.col("r.doc_id").cast("bigint").alias("d"), F.explode("short").alias("line")).distinct(), "short")
+    """(d, own): of documents without a long line, given as (d, short), the short lines that no earlier document holds."""
+    pairs = materialize(emptied.select("d", F.explode("short").alias("line")).distinct(), "short")
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.explode(short_lines(F.col("text"), min_chars)).alias("line"))
     first = lines.join(pairs.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("d").alias("d"))
     return pairs.join(first, ["line", "d"]).groupBy("d").agg(F.collect_set("line").alias("own"))
 
 
+def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """One row a document: doc_id, its text without repeated lines, how many of its long lines went, keep.
+
+    ``keep`` is false where lines went, no line of at least ``min_chars`` is left, and all
+    shorter lines that are left occur in documents before it.
+    """
+    m = marked(docs, min_chars, min_count, pass_bytes)
+    long, went = _counts(F.col("hashes"), F.col("marks.by"))
+    emptied = (went > 0) & (went == long)
+    left = m.select(
+        F.col("r.doc_id").alias("doc_id"), _left(F.col("r.text"), F.col("marks.by")).alias("text"), long.alias("n_long_lines"), went.alias("n_removed"),
+        emptied.alias("emptied"), F.when(emptied, short_lines(F.col("r.text"), min_chars)).alias("short"),
+    )
+    at_risk = materialize(left.where("emptied"), "emptied")  # a small part; the other texts are marked again rather than written
+    own = _own(docs, at_risk.select(F.col("doc_id").cast("bigint").alias("d"), "short"), min_chars)
+    saved = F.coalesce(F.arrays_overlap("short", "own"), F.lit(False))
+    columns = ["doc_id", "text", "n_long_lines", "n_removed"]
+    judged = at_risk.join(own, F.col("doc_id").cast("bigint") == F.col("d"), "left").select(*columns, saved.alias("keep"))
+    return left.where("not emptied").select(*columns, F.lit(True).alias("keep")).unionAll(judged)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The documents without repeated lines.  n_chars follows the text.
 
@@ -308,19 +332,19 @@ def stage(spark, docs: DataFrame, sf_dir: str, pass_bytes: int = PASS_BYTES) ->
     for such a copy if one earlier document holds lines of it that are at least ``COPY_SHARE``
     of the text of either; a passage that many long documents share is less.
     """
-    m = marked(docs, pass_bytes=pass_bytes)
+    m = marked(docs, pass_bytes=pass_bytes, sizes=True)
     long, went = _counts(F.col("hashes"), F.col("marks.by"))
     emptied = (went > 0) & (went == long)
-    share = _copied(F.col("r.doc_id").cast("bigint"), F.col("marks.by"), F.col("marks.chars"), line_lengths(F.col("r.text"), MIN_CHARS))
-    m = m.select("r", "marks", emptied.alias("emptied"), F.coalesce(share, F.lit(0.0)).alias("share"))
+    m = m.select("r", "marks", emptied.alias("emptied"), F.coalesce("marks.share", F.lit(0.0)).alias("share"))
     text = F.when(~F.col("emptied") & (F.col("share") >= COPY_SHARE), F.col("r.text")).otherwise(_left(F.col("r.text"), F.col("marks.by")))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("r.text").isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType)
     row = F.struct(*[(new.get(c, F.col("r")[c])).alias(c) for c in docs.columns])
-    left = materialize(m.select(row.alias("r"), "emptied", F.when(F.col("emptied"), short_lines(F.col("r.text"), MIN_CHARS)).alias("short")), "left")
-    at_risk = left.where("emptied")
-    saved = at_risk.join(_own(docs, at_risk, MIN_CHARS), F.col("r.doc_id").cast("bigint") == F.col("d")).where(F.arrays_overlap("short", "own"))
+    left = m.select(row.alias("r"), "emptied", F.when(F.col("emptied"), short_lines(F.col("r.text"), MIN_CHARS)).alias("short"))
+    at_risk = materialize(left.where("emptied"), "emptied")  # a small part; the other texts are marked again rather than written
+    own = _own(docs, at_risk.select(F.col("r.doc_id").cast("bigint").alias("d"), "short"), MIN_CHARS)
+    saved = at_risk.join(own, F.col("r.doc_id").cast("bigint") == F.col("d")).where(F.arrays_overlap("short", "own"))
     kept = left.where("not emptied").select("r").unionAll(saved.select("r"))
     return kept.select(*[F.col("r")[c].alias(c) for c in docs.columns])
 
@@ -332,16 +356,17 @@ WITH lines AS (
 ), marked AS (
   SELECT *, length(trim(line)) >= {MIN_CHARS} AS long,
          row_number() OVER (PARTITION BY lower(trim(line)) ORDER BY doc_id, pos) > 1 AS later,
-         count(*) OVER (PARTITION BY lower(trim(line))) >= {MIN_COUNT} AS often
+         count(*) OVER (PARTITION BY lower(trim(line))) >= {MIN_COUNT} AS often,
+         length(trim(line)) < {MIN_CHARS} AND regexp_matches(line, '[^ \\t\\r\\f\\v]') AND doc_id = min(doc_id) OVER (PARTITION BY lower(trim(line))) AS own
   FROM lines
 ), per_doc AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (long AND later AND often)) AS text,
          CAST(count(*) FILTER (long) AS INTEGER) AS n_long_lines,
-         CAST(count(*) FILTER (long AND later AND often) AS INTEGER) AS n_removed
+         CAST(count(*) FILTER (long AND later AND often) AS INTEGER) AS n_removed, bool_or(own) AS own
   FROM marked GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(p.text, '') END AS text,
        coalesce(n_long_lines, 0) AS n_long_lines, coalesce(n_removed, 0) AS n_removed,
-       NOT (coalesce(n_removed, 0) > 0 AND n_removed = n_long_lines) AS keep
+       NOT (coalesce(n_removed, 0) > 0 AND n_removed = n_long_lines AND NOT own) AS keep
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """

@@ -31,7 +31,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, positive, ranked
+from .common import chunk_bits, materialize, positive, ranked
 
 BLOCK = 8
 UNITS = 1000
@@ -82,7 +82,7 @@ def period(shares: list[int]) -> list[list[int]]:
 
 
 def _tasks(docs: DataFrame, weights: dict | None, block: int, units: int, alpha: float):
-    """Rows (source, task) and (task, slots of a period) for the scheduled sources, the horizon, and all rows."""
+    """Rows (source, task) and (task, slots of a period) for the scheduled sources, the units of a period, the horizon, and the documents of each task and of none."""
     spark = docs.sparkSession
     counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}  # a row a source
     tasks = apportion(counts, weights, units, alpha)
@@ -96,15 +96,16 @@ def _tasks(docs: DataFrame, weights: dict | None, block: int, units: int, alpha:
     # Written tables have a size that Catalyst knows, so it broadcasts them while they are small.
     task_of = materialize(spark.createDataFrame([(s, i) for i, (sources, _) in enumerate(tasks) for s in sources], f"__s {kind}, __task int"), "tasks")
     slots_of = materialize(spark.createDataFrame(list(enumerate(slots)), "__t int, __slots array<bigint>"), "slots")
-    return task_of, slots_of, every, horizon, sum(counts.values())
+    return task_of, slots_of, every, horizon, held, sum(counts.values()) - sum(held)
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, units: int = UNITS, alpha: float = ALPHA, chunk_rows: int = 100_000) -> DataFrame:
     """One row a document: doc_id, source, block, slot, position in the interleaved order, in_mix."""
-    task_of, slots_of, every, horizon, n = _tasks(docs, weights, block, units, alpha)
+    task_of, slots_of, every, horizon, held, rest = _tasks(docs, weights, block, units, alpha)
+    bits = [chunk_bits(n, chunk_rows) for n in held]
     narrow = docs.select("doc_id", "source")
     keyed = narrow.join(task_of, F.col("source").eqNullSafe(F.col("__s")), "left").select("doc_id", "source", "__task")
-    placed = ranked(keyed, ["__task"], order(), n, "__rank", chunk_rows).join(slots_of, F.col("__task") == F.col("__t"), "left")
+    placed = ranked(keyed, "__task", order(), bits, chunk_bits(rest, chunk_rows), "__rank").join(slots_of, F.col("__task") == F.col("__t"), "left")
     nth = F.floor(F.col("__rank") / block).cast("bigint")
     own = F.size("__slots")
     slot = F.when(F.col("__slots").isNotNull(), F.get("__slots", F.pmod(nth, own).cast("int")) + F.floor(nth / own) * every)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ranked
+from .common import chunk_bits, materialize, ranked
 
 CAPACITY = 2048
 
@@ -125,7 +125,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, chunk_rows: int = 100_000)
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     place = _placer(plan(lengths, capacity))
     order = F.xxhash64("doc_id", "piece")
-    at = ranked(pieces, ["length"], order, sum(lengths.values()), "rank", chunk_rows).withColumn("at", place(F.col("length"), F.col("rank")))
+    bits = [chunk_bits(lengths.get(n, 0), chunk_rows) for n in range(capacity + 1)]
+    at = ranked(pieces, "length", order, bits, 0, "rank").withColumn("at", place(F.col("length"), F.col("rank")))
     return at.select(
         F.col("at.window").alias("window_id"), F.col("at.offset").alias("window_offset"), "doc_id", "piece",
         (F.col("piece") * capacity).alias("doc_offset"), F.col("length").alias("n_tokens"),

@@ -146,7 +146,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass.  Histograms are taken again rather than joined, which would shuffle the texts."""
+    """The documents that pass.  Histograms are taken again rather than joined, which would shuffle the texts, or written beside them."""
     refs = references(histograms(docs, []))
     return scored(histograms(docs, [F.struct(*docs.columns).alias("__r")]), refs).where(_kept()).select("__r.*")
 

@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _FOLD, materialize, mix, slices, span_hashes, text_buffer, word_spans
+from .bitmap import Bitmap
+from .common import _FOLD, materialize, mix, scratch, slices, small_batches, span_hashes, text_buffer, word_spans
 
 BITS = 128
 SEGMENTS = 6
@@ -307,14 +308,16 @@ def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> D
     Equal signatures collapse to one node before the search, so copies by the thousand cost
     as much as one document.
     """
-    signed = materialize(signature_table(docs).distinct(), "simhash")
-    nodes = materialize(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
-    found = materialize(linked(nodes, segments, radius), "links")
-    roots = components(found.where("a <> b").select("a", "b"))
-    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = nodes.join(roots, "node", "left").join(links, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("n"))
-    one = signed.join(named, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.min_by("n", F.struct("group_id", "n")).alias("n_links"))
-    return materialize(one, "groups")
+    with scratch(docs.sparkSession):
+        with small_batches(docs.sparkSession):
+            signed = materialize(signature_table(docs).distinct(), "simhash")
+        nodes = materialize(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
+        found = materialize(linked(nodes, segments, radius), "links")
+        roots = components(found.where("a <> b").select("a", "b"))
+        links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        named = nodes.join(roots, "node", "left").join(links, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("n"))
+        one = signed.join(named, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.min_by("n", F.struct("group_id", "n")).alias("n_links"))
+        return materialize(one, "groups", outlives=True)
 
 
 def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
@@ -334,7 +337,10 @@ def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int = RAD
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without near duplicates: of each group the smallest doc_id stays."""
     gone = groups(docs).where("group_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    # Only texts that may go meet the list of those that do; the others stay where they are.
+    may, own = Bitmap.filter(*Bitmap.write(gone.select(F.col("__gone").alias("a"), F.col("__gone").alias("b")))), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    some = docs.where(may(own, own))
+    kept = docs.where(~may(own, own)).unionByName(some.join(gone, some["doc_id"].cast("bigint") == gone["__gone"], "left_anti"))
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     again = materialize(ids.where("__n > 1").select(F.col("doc_id").alias("__again")), "again")
     if again.isEmpty():

@@ -33,6 +33,11 @@ def test_stages_carry_all_columns(spark, name):
     assert STAGES[name](spark, empty(spark), "").collect() == []
 
 
+def test_packing_stage(spark):
+    got = packing.stage(spark, documents(spark), "").collect()
+    assert sum(r["n_tokens"] for r in got) == sum(len((r[1] or "").split()) for r in ROWS) and packing.stage(spark, empty(spark), "").collect() == []
+
+
 def test_quality_keeps_short_and_unreferenced(spark):
     got = quality_rules.judged(documents(spark)).collect()
     assert all(r["keep"] for r in got)

@@ -166,6 +166,8 @@ def test_stage_keeps_documents_with_short_lines_of_their_own(spark):
     ]
     got = line_dedup.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == [(0, head), (1, rows[0][1]), (2, "Roses are red \nviolets are blue"), (5, "sugar is sweet")]
+    kept = line_dedup.deduped_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(kept) == len(rows) and sorted(((r["doc_id"] or 0), r["text"]) for r in kept if r["keep"]) == sorted(((r["doc_id"] or 0), r["text"]) for r in got)
 
 
 # -- SimHash
