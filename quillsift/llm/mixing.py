@@ -116,16 +116,23 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, unit
     )
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mix.
+def flagged(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with ``in_mix`` in place of any column of that name.
 
     Ranks follow a hash of doc_id, so a task's part of the mix is all hashes below a bound;
     only these bounds, one a source, meet the documents, and no text is shuffled.  Rows that
-    tie with the first one left out are left out.
+    tie with the first one beyond the mix are beyond it.
     """
     m = mixed(docs)
     first_out = F.min(F.when(~F.col("in_mix"), positive(order())))
     bound = m.groupBy("source").agg(first_out.alias("__out")).withColumnRenamed("source", "__source")
     bound = materialize(bound, "bounds")  # a row a source, of known size
     kept = docs.join(bound, docs["source"].eqNullSafe(bound["__source"]), "left")
-    return kept.where(bound["__out"].isNull() | (positive(F.xxhash64(docs["doc_id"], F.lit("mix"))) < bound["__out"])).select(*[docs[c] for c in docs.columns])
+    inside = bound["__out"].isNull() | (positive(F.xxhash64(docs["doc_id"], F.lit("mix"))) < bound["__out"])
+    return kept.select(*[docs[c] for c in docs.columns if c != "in_mix"], inside.alias("in_mix"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the mix, with their columns."""
+    f = flagged(spark, docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source"), sf_dir)
+    return f.where("in_mix").select(*[F.col("__row")[c].alias(c) for c in docs.columns])

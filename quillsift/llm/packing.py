@@ -66,6 +66,11 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     The pieces of a length from a step's first rank on, up to the next step's, go in order
     into consecutive windows, so many to each, from that offset on.
     """
+    return planned(lengths, capacity)[0]
+
+
+def planned(lengths: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """The steps, and the number of windows."""
     tree, rooms, steps, opened = CapacityTree(capacity), {}, [], 0
 
     def push(room: int, first: int, n: int) -> None:
@@ -95,43 +100,61 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                     first, n = first + windows, n - windows
             if n:
                 push(room, first, n)
-    return np.array(sorted(steps), np.int64).reshape(-1, 5)
+    return np.array(sorted(steps), np.int64).reshape(-1, 5), opened
 
 
 _PLACE = T.StructType([T.StructField("window", T.LongType()), T.StructField("offset", T.LongType())])
 
 
-def _placer(steps: np.ndarray):
+def _placer(steps: np.ndarray, capacity: int):
+    """Places of pieces by their key, length and part in one number, and their rank among those of that key."""
     keys = steps[:, 0] * (1 << 44) + steps[:, 1]
 
     @F.arrow_udf(_PLACE)
-    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
-        length, rank = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (lengths, ranks))
-        _, lo, first, each, base = steps[np.searchsorted(keys, length * (1 << 44) + rank, "right") - 1].T
+    def place(of: pa.Array, ranks: pa.Array) -> pa.Array:
+        key, rank = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (of, ranks))
+        _, lo, first, each, base = steps[np.searchsorted(keys, key * (1 << 44) + rank, "right") - 1].T
         window = first + (rank - lo) // each
-        offset = base + (rank - lo) % each * length
+        offset = base + (rank - lo) % each * (key % (capacity + 1))
         return pa.StructArray.from_arrays([pa.array(window), pa.array(offset)], names=["window", "offset"])
 
     return place
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, chunk_rows: int = 100_000) -> DataFrame:
-    """One row a piece: window_id, window_offset, doc_id, piece, doc_offset, n_tokens."""
+def packed(docs: DataFrame, capacity: int = CAPACITY, chunk_rows: int = 100_000, first: str | None = None) -> DataFrame:
+    """One row a piece: window_id, window_offset, doc_id, piece, doc_offset, n_tokens.
+
+    With ``first``, a boolean column, the documents for which it holds are packed as if there
+    were no others, and the others, packed likewise, take the windows after theirs; the column
+    is returned last.
+    """
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("bigint")
-    sized = materialize(docs.select("doc_id", tokens.alias("n")).where("n > 0"), "tokens")
+    sized = materialize(docs.select("doc_id", tokens.alias("n"), (F.lit(0) if first is None else F.when(F.col(first), 0).otherwise(1)).alias("part")).where("n > 0"), "tokens")
     last = F.ceil(F.col("n") / capacity) - 1
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
-    pieces = cut.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("length"))
-    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    place = _placer(plan(lengths, capacity))
+    cut = sized.select("doc_id", "n", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    length = F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity)
+    pieces = cut.select("doc_id", "piece", (F.col("part") * (capacity + 1) + length).alias("key"))
+    counts = {r["key"]: r["count"] for r in pieces.groupBy("key").count().collect()}  # at most ``capacity`` rows a part
+    steps, opened = [], 0
+    for part in (0, capacity + 1):
+        own, windows = planned({k - part: n for k, n in counts.items() if 0 < k - part <= capacity}, capacity)
+        steps.append(own + [part, 0, opened, 0, 0])
+        opened += windows
+    place = _placer(np.concatenate(steps), capacity)
     order = F.xxhash64("doc_id", "piece")
-    bits = [chunk_bits(lengths.get(n, 0), chunk_rows) for n in range(capacity + 1)]
-    at = ranked(pieces, "length", order, bits, 0, "rank").withColumn("at", place(F.col("length"), F.col("rank")))
+    bits = [chunk_bits(counts.get(k, 0), chunk_rows) for k in range(2 * (capacity + 1))]
+    at = ranked(pieces, "key", order, bits, 0, "rank").withColumn("at", place(F.col("key"), F.col("rank")))
     return at.select(
         F.col("at.window").alias("window_id"), F.col("at.offset").alias("window_offset"), "doc_id", "piece",
-        (F.col("piece") * capacity).alias("doc_offset"), F.col("length").alias("n_tokens"),
+        (F.col("piece") * capacity).alias("doc_offset"), F.pmod("key", F.lit(capacity + 1)).alias("n_tokens"),
+        *([(F.col("key") <= capacity).alias(first)] if first else []),
     )
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
+
+
+def flagged_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents packed, those in the mix by themselves, into the first windows; ``in_mix`` tells which."""
+    return packed(docs, first="in_mix")

@@ -1,16 +1,18 @@
-"""SimHash near-dedup over deletion-variant signatures.
+"""SimHash near-dedup over variants of signature segments.
 
 Every document gets a ``BITS``-bit SimHash of its words of more than ``SHORT`` bytes (of all
 words, if it has no other): short words are those that all documents of a language share, and
 would make strangers look alike.  To find all signatures within a few bits without comparing
 all pairs, the signature is cut into ``segments``.  If two signatures differ in at most
-``2 * segments - 1`` bits, some segment differs by at most one, so it is enough to index each
-segment once per wildcard position (that bit deleted): two segments that differ by at most one
-bit agree in a variant.  Fewer, wider segments than in the exact-segment scheme keep the keys
-selective.  Documents meet by an equality shuffle on the variant and each candidate is verified
-on the whole signature.  With the defaults the search is complete up to 11 differing bits; up
-to the radius of 20, for bits that flip independently, the rate falls (95 % at 14 bits, 71 %
-at 18, 56 % at 20); near copies are mostly well below the radius.
+``3 * segments - 1`` bits, some segment differs by at most two, so it is enough to index each
+segment as it is and once per flipped bit: two segments that differ by at most two bits agree
+in a variant.  Fewer, wider segments than in the exact-segment scheme keep the keys selective.
+Documents meet by an equality shuffle on the variant and each candidate is verified on the
+whole signature.  ``groups`` takes as many segments as its radius needs (7 for 20 bits), so it
+finds every pair within the radius.
+
+``near_pairs`` and ``linked`` without ``flips`` index a segment once per deleted bit instead,
+which bridges one bit: fewer candidates, but complete up to ``2 * segments - 1`` bits only.
 
 Equal signatures are one class.  The classes of a variant are sorted together and compared in
 array passes; what leaves a task is not the pairs, but a spanning forest of them and each
@@ -111,29 +113,35 @@ def signature_table(docs: DataFrame) -> DataFrame:
     return signed.select(F.col("doc_id").cast("bigint"), "s.hi", "s.lo")
 
 
-#: A variant in one number, from the top: its wildcard bit, its segment without that bit, a pair of blocks, and which of the two a row is of.
+#: A variant in one number, from the top: its wildcard bit (or its segment's number), its segment without (or with) that bit, a pair of blocks, and which of the two a row is of.
 _SIDE, _BLOCK = 1, 12
 _SHIFT = _SIDE + 2 * _BLOCK
 _WILD = 7
 
 
-def variants(nodes: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(key, node, hi, lo): each node once for each wildcard bit."""
+def complete(radius: int) -> int:
+    """The least number of segments of which one differs by at most two bits in any pair within ``radius``."""
+    return radius // 3 + 1
+
+
+def variants(nodes: DataFrame, segments: int = SEGMENTS, flips: bool = False) -> DataFrame:
+    """(key, node, hi, lo): each node once for each wildcard bit, or for each segment and each of its bits flipped."""
     width = max(b - a for a, b in bounds(segments))
     assert width + _WILD + _SHIFT <= 63, "more segments are needed"
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = []
-    for a, b in bounds(segments):
-        for wild in range(a, b):
-            mask = ((1 << b) - (1 << a)) & ~(1 << wild)
+    for s, (a, b) in enumerate(bounds(segments)):
+        for wild in ([None] if flips else []) + list(range(a, b)):
+            mask = ((1 << b) - (1 << a)) & ~(0 if flips else 1 << wild)
+            tag = (s << width) ^ (0 if wild is None else 1 << (wild - a)) if flips else wild << width
             # A segment's bits in either half, moved to the low end: right, then left where it straddles the halves.
-            rows.append((wild << width, signed(mask >> 64), max(a - 64, 0), max(64 - a, 0) if b > 64 else 0, signed(mask & (1 << 64) - 1), a if a < 64 else 0))
-    names = ("wild", "mh", "rh", "lh", "ml", "rl")
+            rows.append((tag, signed(mask >> 64), max(a - 64, 0), max(64 - a, 0) if b > 64 else 0, signed(mask & (1 << 64) - 1), a if a < 64 else 0))
+    names = ("tag", "mh", "rh", "lh", "ml", "rl")
     kinds = ("L", "L", "", "", "L", "")
     masks = F.expr(f"array({', '.join('named_struct(' + ', '.join(f"'{n}', {x}{k}" for n, x, k in zip(names, r, kinds)) + ')' for r in rows)})")
     m = nodes.select("node", "hi", "lo", F.explode(masks).alias("m"))
     high = "shiftleft(shiftrightunsigned(hi & m.mh, m.rh), m.lh)"
-    return m.select(F.expr(f"m.wild | {high} | shiftrightunsigned(lo & m.ml, m.rl)").alias("key"), "node", "hi", "lo")
+    return m.select(F.expr(f"m.tag ^ ({high} | shiftrightunsigned(lo & m.ml, m.rl))").alias("key"), "node", "hi", "lo")
 
 
 class Links:
@@ -176,17 +184,36 @@ class Links:
 
 _CHUNK = 1 << 17
 _LARGE = 64
+_BOARD = 1 << 16  # comparisons at a time in a large group
+
+
+def _segment(hi: np.ndarray, lo: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Bits ``a`` to ``b`` of each signature, at the low end."""
+    at = lo >> np.uint64(a) if a < 64 else hi >> np.uint64(a - 64)
+    if a < 64 < b:
+        at = at | hi << np.uint64(64 - a)
+    return at & np.uint64((1 << b - a) - 1)
 
 
-def _verify(group: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, segments: int, radius: int, links: Links) -> Iterator[pa.RecordBatch]:
+def _verify(group: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, segments: int, radius: int, flips: bool, links: Links) -> Iterator[pa.RecordBatch]:
     """Compare all rows of a group with each other, for whole groups, sorted; ``group`` has the side in its last bit."""
     of = group >> _SIDE
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     end = np.append(first[1:], len(of))
     width = max(b - a for a, b in bounds(segments))
 
-    def pairs(i: np.ndarray, j: np.ndarray) -> None:
-        """Those of the near pairs i, j for which this variant is the first that they share."""
+    def flipped(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the first segment that bridges the pair, the variant without the lowest bit in which they differ, or the segment itself if they don't."""
+        of, diff, own = np.full(len(i), -1), np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+        for s, (a, b) in reversed(list(enumerate(bounds(segments)))):
+            d = _segment(hi[i] ^ hi[j], lo[i] ^ lo[j], a, b)
+            few = np.bitwise_count(d) <= 2
+            of, diff, own = np.where(few, s, of), np.where(few, d, diff), np.where(few, _segment(hi[i], lo[i], a, b), own)
+        key = (group[i] >> _SHIFT).astype(np.uint64) & np.uint64((1 << width) - 1)
+        lowest = diff & (~diff + np.uint64(1))
+        return (of == group[i] >> (_SHIFT + width)) & np.where(diff == 0, key == own, (key & lowest) == 0)
+
+    def deleted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = hi[i] ^ hi[j], lo[i] ^ lo[j]
         shared = np.full(len(i), -1)
         for a, b in reversed(bounds(segments)):
@@ -195,8 +222,12 @@ def _verify(group: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray,
             bits = np.bitwise_count(h) + np.bitwise_count(w)
             place = np.where(w > 0, _top(w), _top(h) + 64)
             shared = np.where(bits == 0, a, np.where(bits == 1, place, shared))
+        return shared == group[i] >> (_SHIFT + width)
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> None:
+        """Those of the near pairs i, j for which this variant is the first that they share."""
         cross = (group[i] >> _SIDE & (1 << 2 * _BLOCK) - 1) % ((1 << _BLOCK) + 1) != 0  # two blocks: only pairs between them
-        ok = (shared == group[i] >> (_SHIFT + width)) & (~cross | (group[i] & 1 != group[j] & 1)) & (node[i] != node[j])
+        ok = (flipped if flips else deleted)(i, j) & (~cross | (group[i] & 1 != group[j] & 1)) & (node[i] != node[j])
         links.add(node[i[ok]], node[j[ok]])
 
     near = lambda x, y: np.bitwise_count(x) + np.bitwise_count(y) <= radius
@@ -212,11 +243,15 @@ def _verify(group: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray,
     for a, b in zip(first[size > _LARGE].tolist(), end[size > _LARGE].tolist()):
         two = int(group[a] >> _SIDE & (1 << 2 * _BLOCK) - 1) % ((1 << _BLOCK) + 1) != 0
         split = int(np.searchsorted(group[a:b] & 1, 1)) + a
-        for r in range(a, split):  # one row against all after it, or all of the other block
-            s = split if two else r + 1
-            k = np.flatnonzero(near(hi[s:b] ^ hi[r], lo[s:b] ^ lo[r])) + s
+        rows = max(1, _BOARD // (b - a))
+        for r in range(a, split, rows):  # a few rows against all after the first of them, or all of the other block
+            s, to = split if two else r + 1, min(r + rows, split)
+            i, k = np.nonzero(near(hi[r:to, None] ^ hi[s:b], lo[r:to, None] ^ lo[s:b]))
+            i, k = i + r, k + s
+            if not two:
+                i, k = i[k > i], k[k > i]
             if len(k):
-                pairs(np.full(len(k), r), k)
+                pairs(i, k)
                 yield from links.rows(False)
 
 
@@ -228,7 +263,7 @@ def _top(x: np.ndarray) -> np.ndarray:
 _LINK = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])
 
 
-def _searcher(segments: int, radius: int, forest: bool):
+def _searcher(segments: int, radius: int, flips: bool, forest: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, held = Links(forest), None
         for batch in batches:
@@ -239,24 +274,24 @@ def _searcher(segments: int, radius: int, forest: bool):
             of = held[0] >> _SIDE
             cut = int(np.searchsorted(of, of[-1]))  # the last group may go on
             if cut:
-                yield from _verify(held[0][:cut], held[1][:cut], held[2][:cut].view(np.uint64), held[3][:cut].view(np.uint64), segments, radius, links)
+                yield from _verify(held[0][:cut], held[1][:cut], held[2][:cut].view(np.uint64), held[3][:cut].view(np.uint64), segments, radius, flips, links)
                 yield from links.rows(False)
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield from _verify(held[0], held[1], held[2].view(np.uint64), held[3].view(np.uint64), segments, radius, links)
+            yield from _verify(held[0], held[1], held[2].view(np.uint64), held[3].view(np.uint64), segments, radius, flips, links)
         yield from links.rows(True)
 
     return search
 
 
-def linked(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot_rows: int = HOT_ROWS, forest: bool = True) -> DataFrame:
+def linked(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot_rows: int = HOT_ROWS, forest: bool = True, flips: bool = False) -> DataFrame:
     """(a, b, links) of the nodes (node, hi, lo): the pairs within ``radius``, as ``Links`` gives them.
 
     Which variants are hot is read off one node in 16, which decides how the work is cut and
     nothing else: a cut group has the same pairs as a whole one.
     """
-    v = variants(nodes, segments)
-    part = variants(nodes.where(F.pmod(F.xxhash64("node", F.lit("hot")), F.lit(16)) == 0), segments)
+    v = variants(nodes, segments, flips)
+    part = variants(nodes.where(F.pmod(F.xxhash64("node", F.lit("hot")), F.lit(16)) == 0), segments, flips)
     counted = part.groupBy("key").agg((F.count(F.lit(1)) * 16).alias("__n")).where(F.col("__n") > hot_rows)
     blocks = F.least(F.ceil(F.col("__n") * 2 / hot_rows), F.lit((1 << _BLOCK) - 1)).cast("int")
     hot = materialize(counted.select(F.col("key").alias("__hot"), blocks.alias("__blocks")), "hot")
@@ -271,12 +306,12 @@ def linked(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot
         side = (F.col("__own") > F.col("__with")).cast("bigint")
         g = each.select((F.shiftleft("key", _SHIFT) + pair * 2 + side).alias("g"), "node", "hi", "lo")
     sorted_ = g.repartition(F.shiftright("g", _SIDE)).sortWithinPartitions("g")
-    return sorted_.mapInArrow(_searcher(segments, radius, forest), _LINK)
+    return sorted_.mapInArrow(_searcher(segments, radius, flips, forest), _LINK)
 
 
-def near_pairs(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_pairs(nodes: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, hot_rows: int = HOT_ROWS, flips: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of the nodes whose signatures differ in at most ``radius`` bits, each once: for small results."""
-    return linked(nodes, segments, radius, hot_rows, forest=False).select("a", "b")
+    return linked(nodes, segments, radius, hot_rows, forest=False, flips=flips).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,8 +337,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, group_id, n_links) of each distinct document with a signature, in a written table.
+def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, group_id, n_links) of each distinct document with a signature, in a written table, from all pairs within ``radius``.
 
     Equal signatures collapse to one node before the search, so copies by the thousand cost
     as much as one document.
@@ -312,7 +347,7 @@ def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> D
         with small_batches(docs.sparkSession):
             signed = materialize(signature_table(docs).distinct(), "simhash")
         nodes = materialize(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
-        found = materialize(linked(nodes, segments, radius), "links")
+        found = materialize(linked(nodes, complete(radius), radius, flips=True), "links")
         roots = components(found.where("a <> b").select("a", "b"))
         links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
         named = nodes.join(roots, "node", "left").join(links, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("n"))
@@ -320,13 +355,13 @@ def groups(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> D
         return materialize(one, "groups", outlives=True)
 
 
-def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row a document: doc_id, group_id (its smallest doc_id), n_links, is_duplicate.
 
     ``n_links`` is the number of other signatures within the radius of the document's own;
     equal signatures are of one class and not counted.
     """
-    g = groups(docs, segments, radius)
+    g = groups(docs, radius)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     return ids.join(g, "doc_id", "left").select(
         "doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),

@@ -238,6 +238,31 @@ def _roots(n, edges):
     return [root(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("hot_rows", [simhash.HOT_ROWS, 64])
+def test_flips_find_every_pair_within_the_radius(spark, hot_rows):
+    """Pairs at every distance up to and beyond the radius, and a group of hundreds: all of them, each once, by links and by forest."""
+    rng, all_ = random.Random(12), []
+    for k in range(600):
+        base = rng.getrandbits(simhash.BITS)
+        all_ += [base, base ^ sum(1 << f for f in rng.sample(range(simhash.BITS), k % (simhash.RADIUS + 3)))]
+    base = rng.getrandbits(simhash.BITS)
+    all_ += [base ^ sum(1 << f for f in rng.sample(range(simhash.BITS), rng.randrange(12))) for _ in range(300)]
+    all_ = list(dict.fromkeys(all_))
+    want = {(i, j) for i in range(len(all_)) for j in range(i + 1, len(all_)) if (all_[i] ^ all_[j]).bit_count() <= simhash.RADIUS}
+    nodes = spark.createDataFrame([(i, *_signed(x)) for i, x in enumerate(all_)], "node bigint, hi bigint, lo bigint")
+    segments = simhash.complete(simhash.RADIUS)
+    got = [tuple(r) for r in simhash.near_pairs(nodes, segments, hot_rows=hot_rows, flips=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    links, edges = {}, []
+    for a, b, n in simhash.linked(nodes, segments, hot_rows=hot_rows, flips=True).collect():
+        if a == b:
+            links[a] = links.get(a, 0) + n
+        else:
+            edges.append((a, b))
+    assert links == {i: sum(i in p for p in want) for i in {x for p in want for x in p}}
+    assert len(edges) < len(want) and _roots(len(all_), edges) == _roots(len(all_), want)
+
+
 def test_signatures_bit_by_bit():
     import pyarrow as pa
 

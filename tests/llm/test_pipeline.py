@@ -67,3 +67,28 @@ def test_awkward_and_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "a")).count() > 0
     empty(spark).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
+
+
+def test_no_near_copy_within_the_radius_stays(spark):
+    """The third stage keeps the smallest document of each group of all pairs of signatures, and no other."""
+    d = "/root/testdata/sf0.01"
+    lined = line_dedup.stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).cache()
+    groups = brute.near_groups([tuple(r) for r in lined.select("doc_id", "text").collect()])
+    assert {r["doc_id"] for r in simhash.stage(spark, lined, d).collect()} == {i for i in groups if groups[i] == i}
+
+
+def test_documents_beyond_the_mix_are_packed_behind_it(spark, tmp_path):
+    """A small source that runs out ends the mix, but no document is left out; the mix is packed as if it were alone."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1 + i * 7 % 90)), "en", "hot" if i >= 40 else "few") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(got.doc_id) == {r[0] for r in rows}
+    mix = brute.interleave([(r["source"], r["h"], r["doc_id"]) for r in spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").select("source", "doc_id", common.positive(mixing.order()).alias("h")).collect()])
+    inside = {i for i in mix if mix[i][1]}
+    assert set(got[got.in_mix].doc_id) == inside and 0 < len(inside) < len(rows)
+    hashes = {r["doc_id"]: r["h"] for r in spark.range(3000).select(F.col("id").alias("doc_id"), common.positive(F.xxhash64("id", F.lit(0).cast("bigint"))).alias("h")).collect()}
+    windows = 0
+    for part in (got[got.in_mix], got[~got.in_mix]):
+        want = brute.best_fit([(n, hashes[i], i) for i, n in zip(part.doc_id, part.n_tokens)], packing.CAPACITY)
+        assert {i: (w - windows, o) for i, w, o in zip(part.doc_id, part.window_id, part.window_offset)} == want
+        windows = part.window_id.max() + 1
