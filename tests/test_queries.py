@@ -36,3 +36,10 @@ def test_paged_search_is_a_bounded_top_k(spark, sf_dir):
 
 def test_every_query_has_sql():
     assert queries.QUERIES.keys() == queries.SQL.keys()
+
+
+@pytest.mark.parametrize("name", ["compaction_plan"])
+def test_segments_stay_one_a_language_at_any_size(spark, sf_dir, con, name, monkeypatch):
+    """As with tables of more ids than an engine merges at."""
+    monkeypatch.setattr(queries.Engine.__init__, "__defaults__", (50, *queries.Engine.__init__.__defaults__[1:]))
+    assert_same(queries.QUERIES[name](spark, sf_dir).toPandas(), con.execute(queries.SQL[name]).df())
