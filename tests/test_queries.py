@@ -38,7 +38,7 @@ def test_every_query_has_sql():
     assert queries.QUERIES.keys() == queries.SQL.keys()
 
 
-@pytest.mark.parametrize("name", ["compaction_plan"])
+@pytest.mark.parametrize("name", ["compaction_plan", "table_status"])
 def test_segments_stay_one_a_language_at_any_size(spark, sf_dir, con, name, monkeypatch):
     """As with tables of more ids than an engine merges at."""
     monkeypatch.setattr(queries.Engine.__init__, "__defaults__", (50, *queries.Engine.__init__.__defaults__[1:]))
