@@ -17,7 +17,7 @@ from .operators import compaction, filters, ordered, postings, search
 from .plans.engine import Engine
 from .plans.routes import route
 from .sources import documents as docs_json
-from .sources.files import work_dir, written
+from .sources.files import Files, work_dir, written
 from .streaming.ingest import changes, ingest
 from .types import SENTINEL, TableSchema
 
@@ -602,8 +602,10 @@ def stream_outcomes(spark, sf_dir):
     folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     bad = _inserts(_labelled(spark, sf_dir, "toxic = 1")).withColumn("key", F.concat(F.lit("x"), "key")).withColumn("body", F.lit("{}"))
     for k, part in enumerate((_inserts(load(spark, sf_dir, "documents")), _after(_inserts(_labelled(spark, sf_dir, "quality = 1")), _STEP), _after(bad, 2 * _STEP))):
-        part.coalesce(1).write.json(f"{folder}/in/{k}")
-    stream = changes(spark, f"{folder}/in/*", max_files=1)
+        part.write.json(f"{folder}/in/{k}")
+    files = Files(spark, folder)
+    n_files = [sum(n.endswith(".json") for n in files.names(f"{folder}/in/{k}")) for k in range(3)]
+    stream = changes(spark, f"{folder}/in/*", max_files=max(1, *n_files))  # as many batches at any size; each file is cut into tasks
     ingest(engine, "db", "docs", stream, f"{folder}/checkpoint", name, available_now=True).awaitTermination()
     return engine.table("db", "docs").outcomes(name).groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
 

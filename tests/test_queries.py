@@ -43,3 +43,20 @@ def test_segments_stay_one_a_language_at_any_size(spark, sf_dir, con, name, monk
     """As with tables of more ids than an engine merges at."""
     monkeypatch.setattr(queries.Engine.__init__, "__defaults__", (50, *queries.Engine.__init__.__defaults__[1:]))
     assert_same(queries.QUERIES[name](spark, sf_dir).toPandas(), con.execute(queries.SQL[name]).df())
+
+
+def test_a_stream_of_outcomes_is_written_by_many_tasks(spark, sf_dir, con, tmp_path, monkeypatch):
+    """Documents in 9 files: no task reads them all."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "labels.parquet").symlink_to(f"{sf_dir}/labels.parquet")
+    seen, make = [], queries.changes
+    monkeypatch.setattr(queries, "changes", lambda s, path, max_files: seen.append(len(list((tmp_path / "work").glob("stream-*/in/0/*.json")))) or make(s, path, max_files))
+    (tmp_path / "work").mkdir()
+    monkeypatch.setattr(queries, "work_dir", lambda _: f"file://{tmp_path}/work")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = queries.stream_outcomes(spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen == [9]
+    assert_same(got, con.execute(queries.SQL["stream_outcomes"]).df())
