@@ -11,9 +11,10 @@ order of operation and content; changes alike in these, too, are the same change
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,23 +48,55 @@ def _prepared(ops: DataFrame, table: Table, meta: dict[str, Any]) -> DataFrame:
     return documents.from_json(base, schema, carry=("seq", "op", "__key", "__error", "__tie"))
 
 
-def _with_ids(rows: DataFrame, first: int) -> tuple[DataFrame, int, DataFrame]:
-    """Adds doc_id: ``first`` and up in order of ``seq``; returns the number of ids taken, and a table to drop in the end.
+#: Bytes of changes, as written, for each range of ``seq``.
+RANGE_BYTES = 32 << 20
 
-    Rows are cut into ranges of ``seq`` and ranked within them; only the sizes of the ranges
-    come to the driver, so no window sees all rows.
+
+def _with_ids(rows: DataFrame, first: int, ranges: int) -> tuple[DataFrame, list[int], int]:
+    """The rows without ``__error`` with doc_id, ``first`` and up in order of ``seq``, and ``__p``, their range of ``seq``, written;
+    returns where the ranges begin and the number of ids taken.
+
+    Rows, refused ones too, are cut into ranges of ``seq`` and ranked within them; only the sizes and
+    beginnings of the ranges come to the driver, so no window sees all rows.
     """
-    ranged = written(rows.repartitionByRange("seq").withColumn("__p", F.spark_partition_id()), "ranged")
-    sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # a row a task
-    offsets, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
+    ranged = written(rows.repartitionByRange(ranges, "seq").withColumn("__p", F.spark_partition_id()), "ranged")
+    takes = F.col("__error").isNull()
+    found = ranged.groupBy("__p").agg(F.count_if(takes).alias("n"), F.min("seq").alias("begin")).orderBy("__p").collect()  # a row a range
+    offsets, begins, total = [], [], 0
+    for r in found:
         offsets.append(first + total)
-        total += sizes.get(p, 0)
-    if not offsets:
-        return ranged.withColumn("doc_id", F.lit(None).cast("bigint")).drop("__p"), 0, ranged
+        begins.append(r["begin"])
+        total += r["n"]
     rank = F.row_number().over(W.partitionBy("__p").orderBy("seq", HIDDEN_KEY, "__nth"))
-    at = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]) if len(offsets) < 100 else F.from_json(F.lit(str(offsets)), F.lit("array<bigint>")), F.col("__p"))
-    return ranged.withColumn("doc_id", at + rank - 1).drop("__p"), total, ranged
+    numbered = ranged.where(takes).withColumn("__rank", rank).withColumn("__p", _range_of(begins))
+    numbered = written(numbered.withColumn("doc_id", F.get(_longs(offsets), F.col("__p")) + F.col("__rank") - 1).drop("__rank"), "numbered")
+    drop_written(ranged)
+    return numbered, begins, total
+
+
+def _longs(values: list[int]) -> Column:
+    return F.from_json(F.lit(str(values)), F.lit("array<bigint>"))
+
+
+def _range_of(begins: list[int]) -> Column:
+    """Which of the ranges that begin at these numbers, in order, ``seq`` lies in; looked up in two steps, of the root of their number each."""
+    if len(begins) < 2:
+        return F.lit(0)
+    wide = math.isqrt(len(begins) - 1) + 1
+    groups = [begins[k : k + wide] for k in range(0, len(begins), wide)]
+    last = lambda of: F.greatest(F.size(F.filter(of, lambda b: b <= F.col("seq"))) - 1, F.lit(0))
+    at = last(_longs([g[0] for g in groups]))
+    return at * wide + last(F.get(F.from_json(F.lit(str(groups)), F.lit("array<array<bigint>>")), at))
+
+
+def _documents(rows: DataFrame, numbered: DataFrame, begins: list[int], columns: list[str]) -> DataFrame:
+    """The rows that have an id, with it, a task a range of ids; each row is moved once, refused ones to the task of their ``seq``."""
+    keep = ["__row", "__p", "__kind", "doc_id", *columns]
+    given = numbered.select("__row", "__p", "doc_id", F.lit(0).alias("__kind"))
+    both = rows.withColumn("__p", _range_of(begins)).withColumn("__kind", F.lit(1)).withColumn("doc_id", F.lit(None).cast("bigint")).select(keep)
+    both = both.unionByName(given, allowMissingColumns=True).repartitionById(len(begins), F.col("__p"))
+    own = F.lag("doc_id").over(W.partitionBy("__p", "__row").orderBy("__kind"))
+    return both.withColumn("doc_id", own).where((F.col("__kind") == 1) & F.col("doc_id").isNotNull()).select("doc_id", *columns)
 
 
 #: Up to so many changed keys are looked up by value, which the Parquet reader prunes by; more are joined.
@@ -90,8 +123,10 @@ def apply_batch(table: Table, ops: DataFrame, stream: tuple[str, int] | None = N
     if stream and meta.get("streams", {}).get(stream[0], -1) >= stream[1]:
         return table.spark.createDataFrame([], "seq bigint, op string, key string, doc_id bigint, status string, error string")
     fields = [f["name"] for f in meta["fields"] if f["type"] != "primary"]
-    rows = written(_prepared(ops.select(F.col("seq").cast("bigint").alias("seq"), "op", "key", "body"), table, meta), "changes")
-    legal = rows.where(F.col("__error").isNull())
+    rows = _prepared(ops.select(F.col("seq").cast("bigint").alias("seq"), "op", "key", "body"), table, meta)
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "changes")
+    # Changes are judged without their documents, which are moved once, when their ids are known.
+    legal = rows.where(F.col("__error").isNull()).select("__row", "seq", "op", HIDDEN_KEY, "__valid", "__error", "__tie")
     if meta["segments"]:
         legal = legal.join(_held(table, meta, legal), HIDDEN_KEY, "left")
     else:
@@ -107,8 +142,8 @@ def apply_batch(table: Table, ops: DataFrame, stream: tuple[str, int] | None = N
         F.when(is_insert & F.col("__live"), "the key exists").when((F.col("op") == "update") & ~F.col("__live"), "no such document"),
     )
     judged = written(judged, "judged")
-    taking = judged.where(~is_delete & F.col("__error").isNull())
-    numbered, taken, ranged = _with_ids(taking, meta["next_doc_id"])
+    ranges = max(1, math.ceil(table.files.size(rows._written) / RANGE_BYTES))
+    numbered, begins, taken = _with_ids(judged.where(~is_delete), meta["next_doc_id"], ranges)
 
     # Which id each successful update or delete ends: the last one its key got before, or the table's.
     done = numbered.select("op", HIDDEN_KEY, "__nth", "__valid", "__live", "__old", "doc_id").unionByName(
@@ -121,7 +156,8 @@ def apply_batch(table: Table, ops: DataFrame, stream: tuple[str, int] | None = N
     new = dict(meta) | {"next_doc_id": meta["next_doc_id"] + taken}
     if taken:
         path = table.folder("segments")
-        write_segment(numbered.select("doc_id", HIDDEN_KEY, "__valid", *fields), path, taken)
+        writes = rows.where(F.col("op").isin("insert", "update") & F.col("__error").isNull())
+        write_segment(_documents(writes, numbered, begins, [HIDDEN_KEY, "__valid", *fields]), path, taken)
         new["segments"] = [*meta["segments"], {"path": path, "start": meta["next_doc_id"], "end": new["next_doc_id"], "fields": meta["fields"]}]
     path = table.folder("tombstones")
     ended.select(F.col("__ends").alias("doc_id")).write.parquet(path)
@@ -147,5 +183,5 @@ def apply_batch(table: Table, ops: DataFrame, stream: tuple[str, int] | None = N
     else:
         outcome = written(outcome, "outcome")
     table.commit(version, new)
-    drop_written(rows, judged, ranged)
+    drop_written(rows, judged, numbered)
     return outcome

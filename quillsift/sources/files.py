@@ -52,6 +52,10 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isFile())
 
+    def size(self, path: str) -> int:
+        """Bytes of a file, or of all files below a folder."""
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def age(self, path: str) -> float:
         """Seconds since a file or folder was last changed."""
         return time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000

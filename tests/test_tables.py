@@ -355,3 +355,32 @@ def test_the_process_serves_and_stops(spark, tmp_path):
     assert not thread.is_alive()
     with pytest.raises(OSError):
         ask("GET", "/_status")
+
+
+def test_documents_are_moved_once_by_range_and_judged_without(engine, spark, monkeypatch):
+    """3000 documents, all inserted again: in many ranges, the refused ones too, with texts only in the changes and the segment."""
+    from quillsift.sources import dml
+
+    monkeypatch.setattr(dml, "RANGE_BYTES", 4096)
+    kept, texts, spread, moved, make = [], [], [], dml._documents, dml.written
+
+    def write(df, tag):
+        kept.append((tag, "about" in df.columns))
+        return make(df, tag)
+
+    def documents(*args):
+        out = moved(*args)
+        texts.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        spread.append(len(args[2]))
+        return out
+
+    monkeypatch.setattr(dml, "written", write)
+    monkeypatch.setattr(dml, "_documents", documents)
+    ops = spark.range(6000).selectExpr("6000 - id as seq", "'insert' as op", "cast(id % 3000 as string) as key", f"replace('{body(about='w-')}', 'w-', sha2(cast(id as string), 512)) as body")
+    out = engine.apply("db", "t", ops)
+    assert out.where("status = 'ok'").selectExpr("count(*)", "min(doc_id)", "max(doc_id)", "count(distinct doc_id)").first()[:] == (3000, 0, 2999, 3000)
+    assert out.where("doc_id <> seq - 1").isEmpty() and out.where("error = 'the key exists'").count() == 3000
+    t = engine.table("db", "t")
+    wrong = t.live().where("about <> sha2(cast(3000 + cast(__key as int) as string), 512) or doc_id <> 2999 - cast(__key as int)")
+    assert wrong.isEmpty() and t.live().count() == 3000
+    assert [k for k, has in kept if has] == ["changes"] and texts == [1] and spread[0] > 8
