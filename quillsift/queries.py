@@ -173,7 +173,7 @@ def search_by_index(spark, sf_dir):
     """The same search answered from stored postings."""
     docs, schema = load(spark, sf_dir, "documents"), schema_of("documents")
     path = f"{work_dir(spark)}/postings-{uuid.uuid4().hex}"
-    postings.write(postings.build(docs, schema), path)
+    postings.write(postings.packed(docs, schema), path)
     index = spark.read.parquet(path)
     return search.search(docs, schema, {"fieldName": "text", "value": "de"}, columns=[], index=index, everything=True)
 

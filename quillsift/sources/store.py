@@ -253,11 +253,11 @@ class Table:
         return [i for i in meta["indexes"] if i["fields"] == meta["fields"] and i.get("segmenter", segmenter_name(None)) == name]
 
     def _postings(self, entries: Iterable[Mapping[str, Any]]) -> DataFrame:
-        """The postings of some parts of the index; of each folder only the ids that its parts name."""
+        """The postings of some parts of the index, packed; of each folder only the ids that its parts name."""
         of: dict[str, list[tuple[int, int]]] = {}
         for i in entries:
             of.setdefault(i["path"], []).append((i["start"], i["end"]))
-        read = self.spark.read.schema("field string, term string, doc_id bigint, weight int, bucket int")
+        read = self.spark.read.schema(postings.STORED)
         return postings.merge([read.parquet(p).where(within(ranges)) for p, ranges in of.items()])
 
     def _merged_indexes(self, meta: Mapping[str, Any], dead: DataFrame | None, ranges: list[tuple[int, int]]) -> list[dict[str, Any]]:
@@ -273,7 +273,7 @@ class Table:
                     rows = self._postings(own).where(within([(a, b)]))
                     rows = rows if dead is None else rows.join(dead, "doc_id", "left_anti")
                     path = self.folder("postings")
-                    postings.write(rows.select(*postings.COLUMNS), path)
+                    postings.write(rows.select(*postings.COLUMNS, "cross"), path)
                     new.append({"path": path, "start": a, "end": b, "fields": meta["fields"], "segmenter": name})
             out += [i | {"start": a, "end": b} for i in own for a, b in compaction.without(i["start"], i["end"], [(n["start"], n["end"]) for n in new])] + new
         return out
@@ -291,7 +291,7 @@ class Table:
             return 0
         rows = postings.merge([self._segment(s, schema) for s in todo]).where("__valid")
         path, name = self.folder("postings"), segmenter_name(segmenter)
-        postings.write(postings.build(rows.drop("__valid", HIDDEN_KEY), schema, segmenter), path)
+        postings.write(postings.packed(rows.drop("__valid", HIDDEN_KEY), schema, segmenter), path)
         others = [i for i in meta["indexes"] if i["fields"] == meta["fields"] and i not in own]
         taken = [(s["start"], s["end"]) for s in todo]
         kept = [i | {"start": a, "end": b} for i in own for a, b in compaction.without(i["start"], i["end"], taken)]
@@ -300,7 +300,7 @@ class Table:
         return len(todo)
 
     def index(self, meta: Mapping[str, Any] | None = None, segmenter: Tokenizer | None = None) -> DataFrame | None:
-        """The postings, if those of this segmenter cover every segment under the current fields; else None."""
+        """The postings, packed, if those of this segmenter cover every segment under the current fields; else None."""
         meta = meta or self.snapshot()[1]
         have = self._indexes(meta, segmenter)
         covered = compaction.intervals([(i["start"], i["end"]) for i in have])

@@ -1,5 +1,8 @@
 """Unit tests of types, functions and operators on small inputs."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +258,41 @@ def test_schemas():
         FieldSpec("doc_id", "number")
     assert USERS.drop("user_age").add(FieldSpec("user_age", FieldType.TIME)).get("user_age").type is FieldType.TIME
     assert SENTINEL == 9223372036854775807
+
+
+@pytest.mark.parametrize("fields", [{"t": "words", "a": "whole", "b": "list"}, {"t": "words", "u": "words", "a": "whole"}, {"t": "words"}, {"a": "whole"}])
+def test_packed_postings_hold_the_cross_field_in_the_row(spark, fields):
+    """Few and many words outside of the field of words, shared with it or not, and none; against counts by Python."""
+    docs = [
+        {"t": "x y x", "u": "x z", "a": "x", "b": "y;q;y"}, {"t": "", "u": "", "a": "w x w", "b": ""}, {"t": None, "u": None, "a": None, "b": None},
+        {"t": "x k3 k3 y", "u": "y", "a": " ".join(f"k{i % 40}" for i in range(60)), "b": ";".join(f"k{i}" for i in range(9))}, {"t": "é-é", "u": "x", "a": "é", "b": "é"},
+    ]
+    rows = spark.createDataFrame([(i, *[d[f] for f in fields]) for i, d in enumerate(docs)], "doc_id bigint, " + ", ".join(f"{f} string" for f in fields))
+    words = lambda s: re.findall(r"\w+", s or "")
+    want = []
+    for i, d in enumerate(docs):
+        of = {f: {"words": words(d[f]), "whole": [d[f]] if d[f] else [], "list": list(dict.fromkeys(d[f].split(";"))) if d[f] else []}[k] for f, k in fields.items()}
+        for f, terms in (of | {postings.CROSS_FIELD: [w for f in fields for w in words(d[f])]}).items():
+            weighed = f == postings.CROSS_FIELD or fields[f] == "words"
+            want += [(f, t, i, int(np.float32(np.float32(n) / np.float32(len(terms))) * np.float32(10000)) if weighed else 0) for t, n in Counter(terms).items()]
+    p = postings.packed(rows, TableSchema.of(fields))
+    got = [(r["field"], r["term"], r["doc_id"], r["weight"]) for r in postings.unpacked(p).collect()]
+    assert sorted(got) == sorted(want)
+    for term in ("x", "y", "é", "k3"):
+        found = sorted(tuple(r) for r in postings.lookup(p, postings.CROSS_FIELD, term).collect())
+        assert found == sorted((i, w) for f, t, i, w in want if f == postings.CROSS_FIELD and t == term)
+    if list(fields) == ["t", "a", "b"]:
+        assert p.where("field = '#all' and term in ('x', 'y') and doc_id in (0, 4)").isEmpty()
+
+
+def test_each_task_that_stores_postings_has_a_part_of_one_bucket(spark, tmp_path):
+    """So no task gets several buckets by chance: as many files as tasks, however many partitions the session has."""
+    spark.conf.set("spark.sql.shuffle.partitions", 100)
+    try:
+        rows = spark.range(20000).selectExpr("cast(id % 64 as int) as bucket", "'t' as field", "'x' as term", "id as doc_id", "0 as weight")
+        postings.write(rows, str(tmp_path / "p"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted(r["count"] for r in stored.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).count().collect())[0] > 100
+    assert len(list((tmp_path / "p").glob("bucket=*/*.parquet"))) == stored.select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count() == 128
