@@ -22,6 +22,8 @@ BUCKETS = 64
 CHUNK = 100_000
 COLUMNS = ("bucket", "field", "term", "doc_id", "weight")
 STORED = "field string, term string, doc_id bigint, weight int, cross int, bucket int"
+#: Partitions of a walk for each of the session's shuffle partitions.
+WALK_TASKS = 4
 #: Up to so many words outside of the one field of words are looked up one by one for each term.
 FEW_WORDS = 32
 
@@ -163,9 +165,15 @@ def next_term(postings: DataFrame, field: str, term: str) -> DataFrame:
 
 
 def walk(postings: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Per field, term and ``part``, a range of ``chunk`` ids, the postings in order of doc_id; so a frequent term has many rows."""
+    """Per field, term and ``part``, a range of ``chunk`` ids, the postings in order of doc_id; so a frequent term has many rows.
+
+    Postings are moved first, into small partitions, and gathered there: gathered before, the
+    terms of a task are so many that all of its postings would be sorted, and spilled.
+    """
     part = F.floor(F.col("doc_id") / chunk).cast("bigint").alias("part")
-    return unpacked(postings).groupBy("field", "term", part).agg(F.sort_array(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
+    n = WALK_TASKS * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = unpacked(postings.drop("bucket").withColumn("part", part).repartition(n, "term", "part"))
+    return rows.groupBy("field", "term", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
 
 
 def term_counts(postings: DataFrame) -> DataFrame:

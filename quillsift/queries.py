@@ -326,7 +326,8 @@ FROM ({_postings_sql()}) GROUP BY field, term, part
 def term_walk(spark, sf_dir):
     """Every term with its postings in order, a range of ids at a time, as text."""
     line = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["weight"])), " ")
-    return postings.walk(_postings(spark, sf_dir)).select("field", "term", "part", line.alias("postings"))
+    packed = postings.packed(load(spark, sf_dir, "documents"), schema_of("documents"))
+    return postings.walk(packed).select("field", "term", "part", line.alias("postings"))
 
 
 @query(f"""

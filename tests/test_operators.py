@@ -285,6 +285,12 @@ def test_packed_postings_hold_the_cross_field_in_the_row(spark, fields):
         assert p.where("field = '#all' and term in ('x', 'y') and doc_id in (0, 4)").isEmpty()
 
 
+def test_a_walk_moves_postings_before_it_gathers_them(spark):
+    p = postings.packed(spark.createDataFrame([(1, "a b")], "doc_id bigint, t string"), TableSchema.of({"t": "words"}))
+    plan = postings.walk(p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Aggregate" in plan.split("Exchange ")[0] and "Aggregate" not in plan.split("Exchange ")[1]
+
+
 def test_each_task_that_stores_postings_has_a_part_of_one_bucket(spark, tmp_path):
     """So no task gets several buckets by chance: as many files as tasks, however many partitions the session has."""
     spark.conf.set("spark.sql.shuffle.partitions", 100)
