@@ -11,6 +11,8 @@ All functions here take either kind; ``unpacked`` gives the plain one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ COLUMNS = ("bucket", "field", "term", "doc_id", "weight")
 STORED = "field string, term string, doc_id bigint, weight int, cross int, bucket int"
 #: Partitions of a walk for each of the session's shuffle partitions.
 WALK_TASKS = 4
+#: Buckets that one job merges.
+MERGED_AT_ONCE = 8
 #: Up to so many words outside of the one field of words are looked up one by one for each term.
 FEW_WORDS = 32
 
@@ -144,6 +148,22 @@ def write(postings: DataFrame, path: str, mode: str = "errorifexists", buckets:
     _store(postings.repartitionById(buckets * spread, task), path, mode)
 
 
+def write_merged(spark: SparkSession, parts: list[tuple[str, Column]], present: dict[int, list[str]], path: str) -> None:
+    """Store stored postings (folder, rows that count) as one, bucket by bucket, so nothing is shuffled.
+
+    ``present``: the folders that have each bucket.  A bucket's files are read by as many tasks as ``write`` spreads it over.
+    """
+    of, spread = dict(parts), spread_of(spark)
+    reader = spark.read.schema(STORED.removesuffix(", bucket int"))
+    frames = []
+    for bucket, folders in sorted(present.items()):
+        rows = reader.parquet(*[f"{p}/bucket={bucket}" for p in folders])
+        own = [F.contains(F.col("_metadata.file_path"), F.lit(p.rsplit("/", 1)[1])) & of[p] for p in folders]
+        frames.append(rows.where(reduce(lambda x, y: x | y, own)).coalesce(spread).withColumn("bucket", F.lit(bucket)))
+    for k in range(0, len(frames), MERGED_AT_ONCE):  # plans of all buckets together take Spark long
+        _store(merge(frames[k : k + MERGED_AT_ONCE]), path, "append")
+
+
 def lookup(postings: DataFrame, field: str, term: str, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, weight) of one term; the keyword is a term as it stands."""
     found, own, weight = postings.where(F.col("term") == term), F.col("field") == field, F.col("weight")

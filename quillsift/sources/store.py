@@ -252,11 +252,31 @@ class Table:
         name = segmenter_name(segmenter)
         return [i for i in meta["indexes"] if i["fields"] == meta["fields"] and i.get("segmenter", segmenter_name(None)) == name]
 
-    def _postings(self, entries: Iterable[Mapping[str, Any]]) -> DataFrame:
-        """The postings of some parts of the index, packed; of each folder only the ids that its parts name."""
+    def _parts(self, entries: Iterable[Mapping[str, Any]]) -> dict[str, list[tuple[int, int]]]:
+        """The folders of some parts of the index, with the ids that the parts name."""
         of: dict[str, list[tuple[int, int]]] = {}
         for i in entries:
             of.setdefault(i["path"], []).append((i["start"], i["end"]))
+        return of
+
+    def _merge_postings(self, entries: Iterable[Mapping[str, Any]], dead: DataFrame | None, a: int, b: int, path: str) -> None:
+        """Write the postings of the ids from ``a`` to below ``b`` as one folder: bucket by bucket, or, to leave out the dead, in a shuffle."""
+        if dead is None:
+            of = self._parts(e for e in entries if e["start"] < b and a < e["end"])
+            present: dict[int, list[str]] = {}
+            for p in of:
+                for f in self.files.folders(p):
+                    if f.startswith("bucket="):
+                        present.setdefault(int(f.removeprefix("bucket=")), []).append(p)
+            if present:
+                return postings.write_merged(self.spark, [(p, within(ranges) & within([(a, b)])) for p, ranges in of.items()], present, path)
+        rows = self._postings(entries).where(within([(a, b)]))
+        rows = rows if dead is None else rows.join(dead, "doc_id", "left_anti")
+        postings.write(rows.select(*postings.COLUMNS, "cross"), path)
+
+    def _postings(self, entries: Iterable[Mapping[str, Any]]) -> DataFrame:
+        """The postings of some parts of the index, packed; of each folder only the ids that its parts name."""
+        of = self._parts(entries)
         read = self.spark.read.schema(postings.STORED)
         return postings.merge([read.parquet(p).where(within(ranges)) for p, ranges in of.items()])
 
@@ -270,10 +290,8 @@ class Table:
             new = []
             for a, b in ranges:
                 if any(x <= a and b <= y for x, y in spans):
-                    rows = self._postings(own).where(within([(a, b)]))
-                    rows = rows if dead is None else rows.join(dead, "doc_id", "left_anti")
                     path = self.folder("postings")
-                    postings.write(rows.select(*postings.COLUMNS, "cross"), path)
+                    self._merge_postings(own, dead, a, b, path)
                     new.append({"path": path, "start": a, "end": b, "fields": meta["fields"], "segmenter": name})
             out += [i | {"start": a, "end": b} for i in own for a, b in compaction.without(i["start"], i["end"], [(n["start"], n["end"]) for n in new])] + new
         return out

@@ -384,3 +384,27 @@ def test_documents_are_moved_once_by_range_and_judged_without(engine, spark, mon
     wrong = t.live().where("about <> sha2(cast(3000 + cast(__key as int) as string), 512) or doc_id <> 2999 - cast(__key as int)")
     assert wrong.isEmpty() and t.live().count() == 3000
     assert [k for k, has in kept if has] == ["changes"] and texts == [1] and spread[0] > 8
+
+
+def test_postings_of_merged_segments_are_not_shuffled(engine, monkeypatch):
+    """Bucket by bucket, with the same rows, unless some are dead; of an id that is in two folders only the part that counts."""
+    from quillsift.operators import postings
+
+    t, plans, store = engine.table("db", "t"), [], postings._store
+    monkeypatch.setattr(postings, "_store", lambda rows, *a: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or store(rows, *a))
+    for k in range(3):
+        apply(engine, *[("insert", f"{k}-{n}", body(about=f"x w{n} {k}")) for n in range(40)])
+        t.build_index()
+    every = lambda: sorted(tuple(r) for r in postings.unpacked(t.index()).select(*postings.COLUMNS).collect())
+    before = every()
+    plans.clear()
+    assert t.compact(1 << 40) == [[0, 1, 2]]
+    assert 1 < len(plans) <= 8 and not any("Exchange" in p for p in plans) and every() == before and len(t.snapshot()[1]["indexes"]) == 1
+    stored = t.spark.read.parquet(t.snapshot()[1]["indexes"][0]["path"])
+    assert stored.count() == len(before) - stored.where("cross is not null").count()
+    assert found(engine)[1] == 120
+    apply(engine, ("delete", "0-0", None))
+    apply(engine, ("insert", "z", body(about="x")))
+    t.build_index()
+    t.compact(1 << 40)
+    assert found(engine)[1] == 120 and 0 not in {r[3] for r in every()}
